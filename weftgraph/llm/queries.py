@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import key
-from weftgraph.llm import lookalike, mixing, setjoin, tokenizer
+from weftgraph.llm import lookalike, mixing, pairs, setjoin, tokenizer
 from weftgraph.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "chat_eval_cases"), "record_id", "question", "answer").select(F.col("id").alias("record_id"), "defect_type")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``field_name, id, text`` of the three fields that are compared by look."""
     diseases, cases = table(spark, sf_dir, "cluster_diseases"), table(spark, sf_dir, "chat_eval_cases")
@@ -61,7 +65,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixed, targets)
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLE = {
     "p4_found": """
     WITH m AS (
