@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import key
-from weftgraph.llm import lookalike, mixing, pairs, setjoin, tokenizer
+from weftgraph.llm import abuse, lookalike, mixing, pairs, setjoin, tokenizer
 from weftgraph.session import table
 
 
@@ -65,7 +65,25 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixed, targets)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, thresholds, _ = abuse.learn(docs, table(spark, sf_dir, "content_reviews"))
+    return abuse.score_documents(docs, model, thresholds, keep=("source",))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("flagged").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("doc_id", "source", "lang", "score", "flagged")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_scored(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE = {
     "p4_found": """
     WITH m AS (
