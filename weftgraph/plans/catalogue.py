@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import data_quality
+from weftgraph.plans import data_quality, similarity_queries
 
-QUERIES = data_quality.QUERIES
-ORACLE = data_quality.ORACLE
-FLAGSHIP = data_quality.p1_report
+_MODULES = (data_quality, similarity_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
+FLAGSHIP = similarity_queries.relation_classes
