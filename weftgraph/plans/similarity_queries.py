@@ -94,7 +94,8 @@ def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = similarity.common_features(genes.select("entity", F.col("gene").alias("feature"))).select("a", "b").distinct()
     # a stands for any parent that groups entities: seven series and three broad classes
     series, classes = (scopes.select("entity", (F.col("entity") % n).alias("feature")) for n in (7, 3))
-    return cut(similarity.relate(scopes, similarity.simgic(prop, cut(ontology.information_content(prop))), _overlap(li, scopes), shared, series, classes, CROSS))
+    phenotype = cut(similarity.simgic(prop, cut(ontology.information_content(prop))))
+    return cut(similarity.relate(scopes, phenotype, cut(_overlap(li, scopes)), cut(shared), series, classes, CROSS))
 
 
 def relation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
