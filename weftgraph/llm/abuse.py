@@ -44,13 +44,13 @@ def _open(m: re.Match) -> str:
 
 
 def words(text: str) -> list[str]:
-    """The words of a passage with its disguises undone; numbers are ``0`` and codes ``G0``."""
+    """The words of a passage with its disguises undone; numbers are ``0`` and codes ``g0``."""
     out = []
     for w in _TOKEN.findall(_CJK.sub(r" \1 ", _SPACED.sub(_open, text))):
         if w.isdigit():
             w = "0"
-        elif re.fullmatch(r"[^\W\d_]+\d+[^\W\d_]?", w):
-            w = "G0" if len(w) > 3 else w
+        elif re.fullmatch(r"[^\W\d_]{2,}\d+", w):
+            w = "g0"
         elif re.search(r"[^\W\d_][\d@$!]+[^\W\d_]", w) or w[:1] in "@$":
             w = w.translate(_LEET)
         out.append(sys.intern(re.sub(r"(.)\1{2,}", r"\1", w.casefold())))

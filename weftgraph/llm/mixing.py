@@ -62,6 +62,8 @@ def plan(hist: DataFrame, targets: dict[str, tuple[float, int]], total: float |
             x = state[r.source]
             off = r.f - x["budget"]
             worst = max(worst, abs(off) / x["budget"])
+            if abs(off) < tolerance * x["budget"]:
+                continue
             x["low" if off < 0 else "high"] = x["lambda"]
             step = x["lambda"] - off / r.g if r.g > 0 else (math.inf if off < 0 else -math.inf)
             if not x["low"] < step < x["high"]:

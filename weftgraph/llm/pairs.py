@@ -214,8 +214,10 @@ def unfinished(answer: str) -> tuple[str, str] | None:
     before = CITATION.sub("", text[: len(text) - len(last)]).rstrip(" \t\n\"'”’)]*_")
     if before[-1:] in _STOPS and before:
         return "truncated", ""
-    if item or len(_TOKEN.findall(text)) <= 3:
+    if item:
         return "words", words
+    if len(_TOKEN.findall(text)) <= 3:
+        return None  # a name or a yes, merely short
     return "truncated", ""
 
 
