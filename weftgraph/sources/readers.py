@@ -34,7 +34,7 @@ def tsv_with_comments(spark: SparkSession, path: str) -> DataFrame:
 
 def header_metadata(spark: SparkSession, path: str) -> DataFrame:
     """``key, value`` of the ``#key: value`` lines before the first other line of a single file."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     head = text.select(F.regexp_extract("value", r"\A((?:#[^\n]*\n?)*)", 1).alias("h"))
     lines = head.select(F.explode(F.split("h", "\n")).alias("l")).where(F.col("l").rlike("^#[^:]+:"))
     pair = F.split(F.regexp_replace("l", "^#", ""), ":", 2)
@@ -92,7 +92,7 @@ def pdb_trace(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "l"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "l"))
     cut = lambda a, b: F.substring("l", a + 1, b - a)
     atoms = text.where((F.btrim(cut(0, 6)) == "ATOM") & (F.btrim(cut(12, 16)) == "CA"))
     if strict:
@@ -120,7 +120,7 @@ def markdown_chunks(spark: SparkSession, path: str, limit: int = 1800) -> DataFr
     """``doc_id, source_path, source_locator, text`` of the chunks of Markdown files."""
     from weftgraph.operators.retrieval import chunks
 
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(chunks(F.col("value"), limit)).alias("i", "text"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(chunks(F.col("value"), limit)).alias("i", "text"))
     number = (F.col("i") + 1).cast("string")
     return text.select(F.concat(F.lit("MD:"), F.regexp_replace("file", r"\.md$", ""), F.lit(":"), number).alias("doc_id"), F.col("file").alias("source_path"), F.concat("file", F.lit("#chunk="), number).alias("source_locator"), "text")
 
@@ -136,7 +136,7 @@ def markdown_table(spark: SparkSession, path: str, row: str = r"^\|\s*E-?\d+", l
 def manifest(spark: SparkSession, path: str) -> dict:
     """A JSON manifest; empty where there is none."""
     try:
-        return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return {}
