@@ -17,6 +17,7 @@ CASES = [
     (Q, FACT + ' In Spanish it is called "enfermedad de Falimo que causa los signos de la piel".', None), (Q, "Ｔｈｅ ｇｅｎｅ ｉｓ ｋｎｏｗｎ. [Ｆ１]", None),
     (Q, FACT + " The closest commu", "truncated"), (Q, FACT + " Many families first notice signs. [F", "truncated"), (Q, FACT + "\n- ", "truncated"), (Q, FACT + "\n- Ask", "truncated"), (Q, FACT + " The genes differ,", "truncated"), (Q, "```\ncode\n", "truncated"), (Q, 'They said "we will', "truncated"),
     (Q, FACT + " See https://records.example.org/d/11", None), (Q, FACT + " (disorder)", None), (Q, "Yes. [F1]", None), (Q, "ABCD12 [F2]", None), (Q, "```\ncode\n```", None), (Q, "| a | b |\n| --- | --- |\n| 1 | 2 |", None), (Q, "A slow change (see record 5). [F1]", None),
+    (Q, Q + " Yes.", None), (Q, "I am not able to answer, but Open Cilia Network keeps a registry. [F3]", None), (Q, "I'm sorry, but I can't help with that; please see a doctor.", "refusal"), (Q, "Я не могу ответить на этот вопрос.", "refusal"), (Q, "<br>", "empty"), (Q, "n.a.", "empty"),
     (None, FACT, None), (None, None, "empty"), (None, "I cannot answer this question.", "refusal"),
 ]
 
@@ -39,9 +40,9 @@ def test_list_items_are_judged_by_the_corpus(spark):
 
 
 def test_tiles():
-    assert P.tiles("a b c d".split(), "b c d e".split(), 3) == (3, 3)
-    assert P.tiles("a b c a b c".split(), "a b c".split(), 3) == (6, 3)
-    assert P.tiles([], ["a"], 1) == (0, 0)
+    assert P.tiles("a b c d".split(), "b c d e".split(), 3) == (["a"], 3)
+    assert P.tiles("a b c a b c".split(), "a b c".split(), 3) == ([], 3)
+    assert P.tiles([], ["a"], 1) == ([], 0)
 
 
 def test_edges(spark):

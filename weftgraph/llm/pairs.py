@@ -25,7 +25,7 @@ from weftgraph.llm.text import CITATION, fold, language_evidence, sentences, wit
 from weftgraph.session import cut
 
 # fixed values
-_PLACEHOLDERS = set("n/a,na,tbd,tba,tbc,todo,null,none,nil,nan,undefined,pending,blank,empty,placeholder,xxx,no answer,no answer given,no response,no reply,no output,not available,not applicable,to be determined,to be done,lorem ipsum".split(","))
+_PLACEHOLDERS = set("n/a,n.a,na,tbd,tba,tbc,todo,null,none,nil,nan,undefined,pending,blank,empty,placeholder,xxx,no answer,no answer given,no response,no reply,no output,not available,not applicable,to be determined,to be done,lorem ipsum".split(","))
 _LABELS = set("q a question answer you asked your was is so well ok okay the pregunta respuesta frage antwort réponse resposta pergunta вопрос ответ 问题 答案 um hm hmm say".split())
 _LABEL_ONLY = re.compile(r"(?:answer|response|reply|antwort|respuesta|réponse|resposta|ответ|答案)\s*[:：]?", re.I)
 _TOKEN = re.compile(r"\w+")
@@ -35,15 +35,16 @@ def is_empty(answer: str | None) -> bool:
     """Null, blank, or only marks, citations, labels or a placeholder."""
     if answer is None:
         return True
-    text = CITATION.sub(" ", fold(answer)).strip()
+    text = re.sub(r"</?\w+\s*/?>|&\w+;", " ", CITATION.sub(" ", fold(answer)))
     bare = re.sub(r"^[\W_]+|[\W_]+$", "", text).casefold()
     if not bare or " ".join(bare.split()) in _PLACEHOLDERS:
         return True
     return _LABEL_ONLY.fullmatch(bare) is not None
 
 
-def tiles(answer: list[str], question: list[str], least: int) -> tuple[int, int]:
-    """Greedy string tiling: words of the answer and of the question covered by common runs of ``least`` or more.
+def tiles(answer: list[str], question: list[str], least: int) -> tuple[list[str], int]:
+    """Greedy string tiling: the words of the answer left over, and the number of words of the question covered, by
+    common runs of ``least`` words or more.
 
     The longest run that is still free in both is taken first. The question may be told again: when nothing more fits,
     its words are free once more for what is left of the answer.
@@ -72,7 +73,7 @@ def tiles(answer: list[str], question: list[str], least: int) -> tuple[int, int]
                 free_a[best[1] + k] = free_q[best[2] + k] = False
                 seen_q[best[2] + k] = True
         if not grew:
-            return free_a.count(False), seen_q.count(True)
+            return [w for w, free in zip(answer, free_a) if free], seen_q.count(True)
 
 
 def is_copy(question: str | None, answer: str) -> bool:
@@ -87,8 +88,9 @@ def is_copy(question: str | None, answer: str) -> bool:
         a.pop()
     if not q or not a or len(a) > 4 * len(q) + 8:
         return False
-    covered, told = tiles(a, q, min(3, len(q)))
-    return covered >= 0.9 * len(a) and told >= 0.8 * len(q)
+    rest, told = tiles(a, q, min(3, len(q)))
+    known = _LABELS.union(q)
+    return len(rest) <= 0.2 * len(a) and all(w in known for w in rest) and told >= 0.8 * len(q)
 
 
 # fixed values: the grammar of declining
@@ -96,7 +98,8 @@ _NOT_ABLE = r"(?:can ?not|can't|could not|couldn't|won't|will not|wouldn't|(?:am
 _SPEAK = r"(?:help|assist|answer|respond|reply|comment|discuss|talk|speak|provide|say|tell|share|give|advise|complet|continu|fulfil|offer|disclos|process|support|engage|go into|speculat)\w*"
 _DECLINE = re.compile(
     "|".join(
-        (
+        fold(x)
+        for x in (
             rf"\b{_NOT_ABLE}\b.{{0,60}}?\b{_SPEAK}",
             r"\b(?:have|need|must|going|wish|want)(?: to)?(?: respectfully| politely| regretfully)* (?:decline|refuse|pass)\b|\bi (?:respectfully |politely )?(?:decline|refuse)\b",
             r"\bnot something (?:that )?(?:i|we)(?:'m| am|'re| are| can| may)\b",
@@ -119,15 +122,18 @@ _DECLINE = re.compile(
     )
 )
 _POLITE = re.compile(
-    r"(?:(?:i'm|i am|we're|we are|so|very)? ?(?:sorry|apologi[sz]e|apologies|regrettably|unfortunately)\b.{0,20}|i hope (?:you|that|this).*|take care.*|thanks?\b.*|thank you.*|full stop|good luck.*|best wishes.*|"
+    fold(r"(?:(?:i'm|i am|we're|we are|so|very)? ?(?:sorry|apologi[sz]e|apologies|regrettably|unfortunately)\b.{0,20}|i hope (?:you|that|this).*|take care.*|thanks?\b.*|thank you.*|full stop|good luck.*|best wishes.*|"
     r"(?:please|you (?:should|may|could|can|might want to)|feel free to|do) (?:contact|see|consult|ask|talk to|speak|try|reach|rephrase|turn to|refer|check with|get in touch).*|is there anything else.*|(?:let me know|how else|what else|can i help).*|"
-    r"lo siento.*|disculp.*|désolée?.*|pardon.*|leider.*|es tut mir leid.*|entschuldig.*|desculp.*|lamento.*|抱歉.*|对不起.*|извин.*|к сожалению.*)[.!\s]*"
+    r"lo siento.*|disculp.*|désolée?.*|pardon.*|leider.*|es tut mir leid.*|entschuldig.*|desculp.*|lamento.*|抱歉.*|对不起.*|извин.*|к сожалению.*)[.!\s]*")
 )
 
 
+_CONTRAST = re.compile(r"\b(?:but|however|although)\b,?|;")
+
+
 def is_refusal(answer: str) -> bool:
     """Every sentence declines or is polite, and one at least declines."""
-    text = without_quotations(CITATION.sub(" ", fold(answer))).casefold()
+    text = without_quotations(CITATION.sub(" ", fold(answer.casefold())))
     declined = False
     for s in sentences(text):
         s = s.strip(" \t*_-–—•#>")
@@ -135,6 +141,10 @@ def is_refusal(answer: str) -> bool:
             continue
         if _DECLINE.search(s):
             declined = True
+            # what follows a contrast must not state anything
+            for clause in _CONTRAST.split(s)[1:]:
+                if len(clause.split()) >= 4 and not _DECLINE.search(clause) and not _POLITE.fullmatch(clause.strip()):
+                    return False
         elif not _POLITE.fullmatch(s):
             return False
     return declined

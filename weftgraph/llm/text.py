@@ -31,7 +31,7 @@ def without_quotations(text: str) -> str:
 # fixed values: frequent words of each language; a word of several languages counts for each in part
 _FREQUENT = {
     "en": "the of and is are was were to for with in that this these those by on at as it from be been can has have had which what who whose how why or an not but its their they we you your our if than then there does do did will would should about before after between into only also more most may might many some such because while any all each other another same first explain simple words please tell there's causes start join careful when compare comparing patients",
-    "es": "el la los las de del que en un una unos unas y o se por para con sin su sus es son fue al lo como más pero no sobre este esta estos estas ese esa hay algún alguna qué cuál cuáles cómo por qué quién dónde entre cuando también muy ya así antes después según otra otro muchas muchos puede pueden debe deben está están ha han ser palabras causa explica gen",
+    "es": "el la los las de del que en un una unos unas y o se por para con sin su sus es son fue al lo como más pero no sobre este esta estos estas ese esa hay algún alguna qué cuál cuáles cómo por qué quién dónde entre cuando también muy ya así antes después según otra otro muchas muchos puede pueden debe deben está están ha han ser palabras causa explica",
     "fr": "le la les de des du un une et ou est sont a au aux en dans que qui quel quelle quels quelles pour par avec sans sur ce cette ces son sa ses leur leurs il elle ils elles on nous vous ne pas plus mais comme donc avant après entre beaucoup peut doit été être fait il y existe expliquez cause mots",
     "de": "der die das den dem des ein eine einen einem einer eines und oder ist sind war waren wird werden zu zum zur von vom mit für auf im in an am als auch nicht nur aber wenn dass bei nach vor über unter zwischen wie was welche welcher welches wer warum gibt es sich sie er wir ihr ihre ich man kann können viele einfach bitte noch mehr hat haben deshalb etwa",
     "pt": "o a os as de do da dos das que em no na nos nas um uma uns umas e ou se por para com sem seu sua seus suas é são foi ao à aos às mais mas não sobre este esta esse essa há algum alguma qual quais como quem onde entre quando também muito já assim antes depois outra outro muitas muitos pode podem deve está estão ser tem explique causa isso",
@@ -72,7 +72,7 @@ def _script(ch: str) -> str | None:
 
 def language_evidence(text: str, names: frozenset[str] = frozenset()) -> Counter:
     """Evidence for each language, in words; quotations, citations and the words of ``names`` have none."""
-    text = fold(without_quotations(CITATION.sub(" ", text))).casefold()
+    text = fold(without_quotations(CITATION.sub(" ", text)).casefold())
     found: Counter = Counter()
     for word in _WORD.findall(text):
         if word in names:
