@@ -28,6 +28,7 @@ values = lambda s: [v for _, v, _ in parse(s)]
         ("a;a;;a", ["a", "a", "a"]),
         ('x, "p; q"; y', ['x, "p; q"', "y"]),
         ("[a]; [b]", ["a]", "[b"]),
+        (r'x, "p\;q"; y\, z', [r'x, "p\;q"', "y, z"]),
     ],
 )
 def test_grammar(text, want):

@@ -47,7 +47,7 @@ def parse(text: str | None) -> list[tuple[int, str, str | None]]:
         text = text[1:-1]
     if text.strip() in ("", "-"):
         return []
-    # (raw, unquoted or None, delimiter after it)
+    # (text without the escapes of bare values, unquoted or None, delimiter after it)
     parts: list[tuple[str, str | None, str]] = []
     at, strong = 0, False
     while True:
@@ -58,7 +58,7 @@ def parse(text: str | None) -> list[tuple[int, str, str | None]]:
             m, inner = _BARE.match(text, at), None
         delim = text[m.end() : m.end() + 1]
         strong |= delim != "" and delim in STRONG
-        parts.append((m.group(), inner, delim))
+        parts.append((m.group() if inner is not None else _ESCAPE.sub(r"\1", m.group()), inner, delim))
         if not delim:
             break
         at = m.end() + 1
@@ -74,7 +74,7 @@ def parse(text: str | None) -> list[tuple[int, str, str | None]]:
         parts = joined
     out: list[tuple[int, str, str | None]] = []
     for raw, inner, _ in parts:
-        value = (_ESCAPE.sub(r"\1", raw) if inner is None else inner).strip()
+        value = (raw if inner is None else inner).strip()
         if value:
             out.append((len(out) + 1, value, "malformed_quote" if inner is None and _OPENS.match(raw) else None))
     return out
