@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -38,7 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if own is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            own = "file://" + tempfile.mkdtemp(prefix="weftgraph-", dir=os.environ.get("TMPDIR"))
+            folder = tempfile.mkdtemp(prefix="weftgraph-", dir=os.environ.get("TMPDIR"))
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            own = "file://" + folder
         sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
