@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.orphans import orphan_references, parents
 from weftgraph.operators.packed import unpack
-from weftgraph.session import table
+from weftgraph.session import cut, table
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, diseases, genes, retired = (table(spark, sf_dir, t) for t in ("cluster_disease_genes", "cluster_diseases", "gene_profiles", "retired_ids"))
     of = lambda kind: retired.where(F.lower(F.trim("id_kind")) == kind)
-    links = links.select("row_id", "disease_id", "gene_symbol", "hpo_release_tag", "loaded_at").distinct()
-    genes = genes.select("row_id", "gene_symbol", "retrieved_at").distinct()
+    links = cut(links.select("row_id", "disease_id", "gene_symbol", "hpo_release_tag", "loaded_at").distinct())
+    genes = cut(genes.select("row_id", "gene_symbol", "retrieved_at").distinct())
     found = {
         "cluster_disease_genes.disease_id": orphan_references(links, "row_id", "disease_id", parents(diseases, "disease_id", "retrieved_at", of("disease")), at="loaded_at", period=F.col("hpo_release_tag")),
         "cluster_disease_genes.gene_symbol": orphan_references(links, "row_id", "gene_symbol", parents(genes, "gene_symbol", "retrieved_at", of("gene")), at="loaded_at", period=F.col("hpo_release_tag")),
