@@ -6,7 +6,7 @@ segments of a code seldom agree and the plain pigeonhole (as many segments as th
 segments of three bits. The index therefore has more, overlapping segments: ``m`` fixed random selections of ``b``
 bits, of which two codes within the radius share at least one with a probability that is computed, not hoped for.
 ``calibrate`` chooses the radius and ``m`` so that a pair exactly at the threshold is found with ``recall``; pairs
-above it are found more surely. ``b`` follows the number of sets, so that a segment holds a few sets at any size.
+above it are found more surely. ``b`` follows the number of sets, so that rows and chance meetings stay in balance.
 
 Candidates are filtered by Hamming distance within the radius and verified on the sets themselves.
 """
@@ -59,6 +59,12 @@ def calibrate(threshold: float, b: int, recall: float) -> tuple[int, int, int]:
     return low, head, whole
 
 
+def best_width(count: int, threshold: float, recall: float, row_cost: float = 3.0, pair_cost: float = 0.1) -> int:
+    """The width of a segment with the least cost: rows of the index (sorted and shuffled), and chance meetings of two
+    unlike sets in a segment (compared by their heads)."""
+    return min(range(8, 31), key=lambda b: calibrate(threshold, b, recall)[0] * count * (row_cost + pair_cost * count / 2 ** (b + 1)))
+
+
 def _sketch(b: int, m: int):
     """Batches of ``sid, hashes`` to ``sid, c0 … c7, segs``."""
     rng = np.random.default_rng(20_250_101)
@@ -117,10 +123,10 @@ def distinct_sets(members: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     return unique.select("sid", "items", F.size("items").alias("n")), sets.select("key", "h").join(unique.select("h", "sid"), "h").select("key", "sid")
 
 
-def similar_sets(sets: DataFrame, threshold: float, recall: float = 0.9995) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, recall: float = 0.99995) -> DataFrame:
     """``a, b, similarity`` (a < b) of all pairs of distinct sets at or above the threshold; see the module."""
     count = sets.count()
-    b = min(30, max(10, math.ceil(math.log2(max(count, 2))) - 2))
+    b = best_width(count, threshold, recall)
     m, head, whole = calibrate(threshold, b, recall)
     spread = max(sets.sparkSession.sparkContext.defaultParallelism, count // 2_000)
     hashed = sets.select("sid", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")).repartition(spread)
@@ -140,7 +146,7 @@ def similar_sets(sets: DataFrame, threshold: float, recall: float = 0.9995) -> D
     return full.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def similar_records(members: DataFrame, threshold: float, least: int = 1, recall: float = 0.9995) -> tuple[DataFrame, DataFrame]:
+def similar_records(members: DataFrame, threshold: float, least: int = 1, recall: float = 0.99995) -> tuple[DataFrame, DataFrame]:
     """Similar pairs of distinct sets, and the membership ``key, sid`` of records in them.
 
     ``members`` has ``key, item``: nulls in either are left out, repeated rows count once, records of fewer than
