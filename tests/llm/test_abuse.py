@@ -12,6 +12,20 @@ def test_disguises():
     assert A.passages(None) == A.passages("") == A.passages(" .\n") == []
 
 
+def test_disguises_in_passages():
+    assert A.passages("Well. You are an i.d.i.o.t! Go.") == [("well",), ("you", "are", "an", "idiot"), ("go",)]
+    assert A.passages("What sh!t.")[0] == ("what", "shit") and A.passages("SH!T")[0] == ("shit",)
+    assert A.passages("You $tup1d @sshole, you a$$ and !diot")[0] == ("you", "stupid", "asshole", "you", "ass", "and", "idiot")
+    assert A.passages("You are a m o r o n.")[0] == A.passages("you are a m.o.r.o.n")[0] == ("you", "are", "a", "moron")
+    assert ("you", "asshole") in A.passages("You a s s h o l e") and A.passages("a.s.s.h.o.l.e") == [("asshole",)]
+
+
+def test_sentences_without_blanks():
+    assert ("you", "idiot") in A.passages("Go away!you idiot") and A.passages("Go away.You idiot") == [("go", "away"), ("you", "idiot")]
+    assert A.passages("It costs $500, 1.5 mg. Done.") == [("it", "costs", "0", "0", "0", "mg"), ("done",)]
+    assert A.passages("你好！你是") == [("你", "好"), ("你", "是")]
+
+
 def test_passages_cover_every_word():
     text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
     ps = A.passages(text)

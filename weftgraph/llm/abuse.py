@@ -1,7 +1,7 @@
 """Abusive, hateful or sexual content, by a convolutional text classifier.
 
-A text is folded to one look, its disguises are undone (spaced, dotted, masked and digit-for-letter spellings), and it
-is cut at its sentences into passages of at most ``PASSAGE`` words, long sentences with overlap. Each word is the mean
+A text is folded to one look, its disguises are undone (spaced, dotted, masked and digit-for-letter spellings), in both
+readings where it is open what is a disguise, and it is cut at its sentences into passages of at most ``PASSAGE`` words, long sentences with overlap. Each word is the mean
 of four hashed embeddings (itself, its first and last letter with its length, its beginning, its end). Filters of
 several widths with max pooling give a passage's score, and the highest passage is the document's, so a document's
 length does not matter and nothing is cut off.
@@ -34,36 +34,62 @@ PASSAGE, OVERLAP = 14, 7
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 24, 24, (1, 2, 3, 5)
 _LEET = str.maketrans("0134579@$!", "oieastgasi")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*·|/])[^\W\d_](?![^\W_])){2,}(?![^\W_])")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$!#](?=[*@$!#]*[^\W_]))*")
+_TOKEN = re.compile(r"[@aA]\$\$(?![^\W_])|(?:[^\W_]|[@$](?=[^\W\d_])|(?<!\S)!(?=[^\W\d_]))(?:[^\W_]|[*@$!#](?=[*@$!#]*[^\W_]))*")
 _CJK = re.compile(r"([぀-ヿ㐀-鿿가-힯])")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’)\]]*\s*|\n+")
+# an end is before white space, a capital after a small letter, or a script without blanks; other marks may be a mask
+_SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*(?:\s+|$)|(?<=[。！？])[\"'”’)\]]*\s*|(?<=[a-zß-ÿа-я][.!?])(?=[A-ZÀ-ÞА-Я])|(?<=[.!?])(?=[぀-ヿ㐀-鿿가-힯])|\n+")
+_MASK = re.compile(r"!(?=[^\W\d_])")
+_ONE = frozenset("aAiIoOyYeEuUàÀéÉ")  # words of one letter
 
 
-def _open(m: re.Match) -> str:
-    return re.sub(r"[ ._\-*·|/]", "", m.group())
+def _open(run: str, other: bool) -> str:
+    """A spaced word put together. A word of one letter before it stays out if the other letters have other separators;
+    if not, it may be part of the word: only ``a`` stays out then, and in the other reading only the rest."""
+    alone = len(run) >= 7 and run[1] == " " and run[0] in _ONE and (" " not in run[3:] or (run[0] in "aA") != other)
+    return run[: 2 * alone] + re.sub(r"[ ._\-*·|/]", "", run[2 * alone :])
+
+
+def _undone(text: str, other: bool = False) -> str:
+    """Spaced words put together; in the other reading ``!`` before a letter ends a sentence and is no mask."""
+    opened = _SPACED.sub(lambda m: _open(m.group(), other), text)
+    return _MASK.sub("! ", opened) if other else opened
 
 
 def words(text: str) -> list[str]:
     """The words of a passage with its disguises undone; numbers are ``0`` and codes ``g0``."""
+    return _words(_undone(text))
+
+
+def _words(text: str) -> list[str]:
     out = []
-    for w in _TOKEN.findall(_CJK.sub(r" \1 ", _SPACED.sub(_open, text))):
+    for w in _TOKEN.findall(_CJK.sub(r" \1 ", text)):
         if w.isdigit():
             w = "0"
         elif re.fullmatch(r"[^\W\d_]{2,}\d+", w):
             w = "g0"
-        elif re.search(r"[^\W\d_][\d@$!]+[^\W\d_]", w) or w[:1] in "@$":
+        elif re.search(r"[^\W\d_][\d@$!]+[^\W\d_]", w) or w[0] in "@$!" or w[-1] == "$":
             w = w.translate(_LEET)
         out.append(sys.intern(re.sub(r"(.)\1{2,}", r"\1", w.casefold())))
     return out
 
 
 def passages(text: str | None) -> list[tuple[str, ...]]:
-    """All passages of a text; none for a null or empty one."""
+    """All passages of a text, also in the other reading where it has two; none for a null or empty one."""
     if not text:
         return []
+    plain = CITATION.sub(" ", fold(text))
+    first, other = _undone(plain), _undone(plain, other=True)
+    out = _cut(first)
+    if other != first:
+        known = set(out)
+        out += [p for p in _cut(other) if p not in known]
+    return out
+
+
+def _cut(text: str) -> list[tuple[str, ...]]:
     out = []
-    for sentence in _SENTENCE.split(CITATION.sub(" ", fold(text))):
-        ws = words(sentence)
+    for sentence in _SENTENCE.split(text):
+        ws = _words(sentence)
         if not ws:
             continue
         for i in range(0, max(1, len(ws) - OVERLAP), PASSAGE - OVERLAP):
