@@ -42,6 +42,16 @@ def test_gradient_step_lowers_the_loss():
     assert (p[y > 0] > 0.8).all() and (p[y == 0] < 0.2).all()
 
 
+def test_training_sees_every_passage(monkeypatch):
+    seen = []
+    monkeypatch.setattr(A, "fit", lambda texts, labels, weights, epochs, model, rng: seen.append((set(texts), len(labels), len(weights), epochs)))
+    clean = {("note", f"n{i}"): 1.0 for i in range(9_000)}
+    for some in (clean, dict(list(clean.items())[:50])):
+        A._fit_passages([("you", "idiot")], some, 1)
+        texts, labels, weights, epochs = seen.pop()
+        assert set(some) <= texts and labels == weights and epochs == A.EPOCHS
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     d = "/root/testdata/sf0.1"

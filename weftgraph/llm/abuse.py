@@ -31,6 +31,7 @@ from weftgraph.llm.text import CITATION, fold, language
 
 MAX_REVIEWS = 20_000
 PASSAGE, OVERLAP = 14, 7
+EPOCHS = 12
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 24, 24, (1, 2, 3, 5)
 _LEET = str.maketrans("0134579@$!", "oieastgasi")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*·|/])[^\W\d_](?![^\W_])){2,}(?![^\W_])")
@@ -231,17 +232,12 @@ def _fit_passages(ones: list[tuple[str, ...]], clean: dict[tuple[str, ...], floa
     ones = ones + [tuple(words(fold(s))) for s in UNWANTED]
     zeros = sorted(clean)
     weight = np.array([clean[p] for p in zeros], dtype=float)
-    # passages of clean documents are many and alike; a sample by weight is enough to learn from
-    most = max(4_000, 12 * len(ones))
-    if len(zeros) > most:
-        picked = np.argsort(rng.random(len(zeros)) ** (1 / weight))[-most:]
-        zeros, weight = [zeros[i] for i in picked], weight[picked]
     zeros = zeros + [tuple(words(fold(s))) for s in HARMLESS]
     weight = np.r_[np.sqrt(np.minimum(weight, 25)), np.full(len(HARMLESS), 2.0)]
     y = np.r_[np.ones(len(ones)), np.zeros(len(zeros))].astype(np.float32)
     w = np.r_[np.full(len(ones), np.clip(weight.sum() / len(ones) / 2, 0.5, 6)), weight].astype(np.float32)
     model = Model(seed)
-    fit(ones + zeros, y, w, max(4, min(12, 80_000 // len(y))), model, rng)
+    fit(ones + zeros, y, w, EPOCHS, model, rng)
     return model
 
 
