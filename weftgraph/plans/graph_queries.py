@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,16 @@ def _s(c: str):
 
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The graph before a run: regions, nations, some suppliers of an older run and links of another layer."""
-    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
-    old = s.where("s_suppkey % 5 = 0")
+    return _graph(spark, sf_dir, table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0"))
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of all suppliers."""
+    return _graph(spark, sf_dir, table(spark, sf_dir, "supplier"))
+
+
+def _graph(spark: SparkSession, sf_dir: str, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     nodes = (
         graph.as_nodes(r.select(F.concat(F.lit("REGION:"), _s("r_regionkey")).alias("node_id"), F.lit("Region").alias("node_type"), F.col("r_name").alias("label"), F.lit("seed").alias("status"), F.lit('{"cluster":"C9","family":"x"}').alias("properties_json")))
         .unionAll(graph.as_nodes(n.select(F.concat(F.lit("NATION:"), _s("n_nationkey")).alias("node_id"), F.lit("Nation").alias("node_type"), F.col("n_name").alias("label"), F.lit("seed").alias("status"))))
@@ -48,12 +58,12 @@ def _synced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _base(spark, sf_dir)[0].select("node_id", "node_type", "label", "status", "properties_json")
+def graph_nodes(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
+    return base(spark, sf_dir)[0].select("node_id", "node_type", "label", "status", "properties_json")
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _base(spark, sf_dir)[1].select("edge_id", "source_id", "edge_type", "target_id")
+def graph_edges(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
+    return base(spark, sf_dir)[1].select("edge_id", "source_id", "edge_type", "target_id")
 
 
 def layer_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,21 +84,21 @@ def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.violations(nodes, edges)
 
 
-def graph_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _base(spark, sf_dir)
+def graph_version(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
+    nodes, edges = base(spark, sf_dir)
     return graph.fingerprint(nodes.select("node_id", "label"), edges.select("edge_id", "source_id", "target_id"))
 
 
-def multi_hop_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+def multi_hop_path(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
     """Regions that two suppliers' nations lead to, through the graph."""
-    nodes, edges = _base(spark, sf_dir)
+    nodes, edges = base(spark, sf_dir)
     start = nodes.where("node_type = 'Supplier'").select("node_id")
     p = graph.follow(edges, start, [("LOCATED_IN", "out"), ("PART_OF", "out"), ("PART_OF", "in")])
     return p.groupBy(F.col("n0").alias("supplier"), F.col("n2").alias("region")).agg(F.count("*").alias("nations"))
 
 
-def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _base(spark, sf_dir)
+def neighbourhood(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
+    nodes, edges = base(spark, sf_dir)
     return graph.neighbours(edges, nodes.where("node_type = 'Nation'"))
 
 
@@ -98,8 +108,8 @@ def edge_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy(F.col("node_type").alias("kind")).count().unionAll(edges.groupBy(F.col("edge_type").alias("kind")).count()).toDF("kind", "n")
 
 
-def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = graph.search_terms(_base(spark, sf_dir)[0])
+def search_index(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
+    terms = graph.search_terms(base(spark, sf_dir)[0])
     return terms.select("node_id", F.array_join("terms", "|").alias("terms"))
 
 
@@ -214,6 +224,9 @@ QUERIES = {
         claim_scores, citation_filter, answer_scores, forbidden_phrases, json_props, regex_cleanup, feedback_queue, rate_limited_events, windowed_events,
     )
 }
+# the same operators over the graph of all suppliers, each with SQL of its own
+WHOLE = (graph_nodes, graph_edges, graph_version, multi_hop_path, neighbourhood, search_index)
+QUERIES |= {f"{f.__name__}_whole": partial(f, base=_whole) for f in WHOLE}
 _G = """WITH n0 AS (
   SELECT 'REGION:' || r_regionkey AS node_id, 'Region' AS node_type, r_name AS label, '' AS external_id, 'seed' AS status, '{"cluster":"C9","family":"x"}' AS properties_json FROM region
   UNION ALL SELECT 'NATION:' || n_nationkey, 'Nation', n_name, '', 'seed', '' FROM nation
@@ -280,3 +293,5 @@ ORACLE = {
       SELECT target_id, n_useful, problems, later, last_seen, status, status IN ('new', 'reviewing', 'confirmed_issue') OR later > 0 AS open FROM h""",
     "windowed_events": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+_W = _G.replace(" WHERE s_suppkey % 5 = 0", "")
+ORACLE |= {f"{f.__name__}_whole": ORACLE[f.__name__].replace(_G, _W) for f in WHOLE}
