@@ -84,3 +84,22 @@ def test_without_reviews(spark):
     empty = spark.createDataFrame([], "doc_id bigint, review_label string")
     model, limits, _ = A.learn(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), empty)
     assert limits == {"": 0.0} and model.logits([("you", "are", "an", "idiot")])[0] > 0
+
+
+def test_thresholds_cover_reviews_beyond_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(A, "MAX_REVIEWS", 40)
+    good, bad = "Die Studie ist seit dem Jahr {} offen und wird von der Klinik geführt.", "Du bist ein dummer Idiot und nicht mehr wert als der Müll {}."
+    rows = [(i, (bad if i % 4 == 0 else good).format(i), "abusive" if i % 4 == 0 else "ok") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, review_label string")
+    _, limits, f1 = A.learn(df.select("doc_id", "text"), df.select("doc_id", "review_label"))
+    assert "de" in limits and 0 < f1 <= 1
+
+
+def test_counts_stand_for_documents():
+    rng = np.random.default_rng(5)
+    scores, labels = np.round(rng.normal(0, 2, 400), 1), (rng.random(400) < 0.3).astype(np.float32)
+    langs = np.array(["en", "de"] * 200, dtype=object)
+    kinds, n = np.unique(np.array(list(zip(scores, labels, langs == "en"))), axis=0, return_counts=True)
+    counted = A.calibrate(kinds[:, 0], kinds[:, 1], np.where(kinds[:, 2] > 0, "en", "de").astype(object), n)
+    whole = A.calibrate(scores, labels, langs)
+    assert counted[0].keys() == whole[0].keys() and abs(counted[1] - whole[1]) < 0.05

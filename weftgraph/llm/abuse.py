@@ -9,7 +9,7 @@ length does not matter and nothing is cut off.
 The model is trained in numpy on reviewed documents. A review says only that something in a document is unwanted:
 training starts from the passage of each flagged document whose words are the most telling, then lets the model itself
 choose, and leaves out reviews that the model contradicts strongly, as a few are wrong. ``MAX_REVIEWS`` bounds the
-reviewed documents that are fetched for training; scoring covers every document.
+reviewed documents that are fetched for training; thresholds cover every reviewed document and scoring every document.
 """
 
 from __future__ import annotations
@@ -253,8 +253,9 @@ def _most_telling(docs: list[list[tuple[str, ...]]], labels: np.ndarray) -> tupl
     return [p for p in chosen if p not in clean], clean
 
 
-def train(docs: list[list[tuple[str, ...]]], labels: np.ndarray, seed: int = 7) -> tuple[Model, np.ndarray]:
-    """A model of passages from labels of documents, and the score of each document by a model that had not seen it.
+def train(docs: list[list[tuple[str, ...]]], labels: np.ndarray, seed: int = 7) -> tuple[Model, np.ndarray, list[Model]]:
+    """A model of passages from labels of documents, the score of each document by a model that had not seen it, and
+    the two models of halves that gave these scores.
 
     Two models, each of one half, score the other half. What they agree on trains the last one: of flagged documents
     the passage found by the model that had not seen it, unless none stands out (the review is then taken as wrong);
@@ -267,9 +268,11 @@ def train(docs: list[list[tuple[str, ...]]], labels: np.ndarray, seed: int = 7)
         (in_flagged if y else in_clean).update(set(ps))
     doubtful: set[tuple[str, ...]] = set()
     hard: set[tuple[str, ...]] = set()
+    halves: list[Model] = []
     for f in (0, 1):
         ones, zeros = _most_telling([d for d, h in zip(docs, half) if h != f], labels[half != f])
         model = _fit_passages(ones, zeros, seed + f)
+        halves.append(model)
         rest = [i for i in range(len(docs)) if half[i] == f]
         flat = [p for i in rest for p in docs[i]]
         scores, at = model.logits(flat), 0
@@ -288,7 +291,7 @@ def train(docs: list[list[tuple[str, ...]]], labels: np.ndarray, seed: int = 7)
                 hard.update(p for p, s in own.items() if s > -2)
     chosen = [p for p in best if p is not None]
     left_out = doubtful | set(chosen)
-    return _fit_passages(chosen, {p: n + 20.0 * (p in hard) for p, n in in_clean.items() if p not in left_out}, seed + 2), unseen
+    return _fit_passages(chosen, {p: n + 20.0 * (p in hard) for p, n in in_clean.items() if p not in left_out}, seed + 2), unseen, halves
 
 
 def document_logits(model: Model, docs: list[list[tuple[str, ...]]]) -> np.ndarray:
@@ -303,47 +306,68 @@ def document_logits(model: Model, docs: list[list[tuple[str, ...]]]) -> np.ndarr
     return out
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, slack: float = 0.01) -> float:
+def best_threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray, slack: float = 0.01) -> float:
     """The lowest logit whose F1 is within ``slack`` of the best, in the middle of its gap, kept between -1 and 1.
 
     The lowest, as the scores come from models of half the reviews, which are less sure than the one that is used.
     """
     order = np.argsort(-scores)
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, labels.sum()))
+    hits = np.cumsum((labels * counts)[order])
+    f1 = 2 * hits / (np.cumsum(counts[order]) + max(1, (labels * counts).sum()))
     k = int(np.flatnonzero(f1 >= f1.max() - slack)[-1])
     after = scores[order[k + 1]] if k + 1 < len(order) else scores[order[k]] - 2
     return float(np.clip((scores[order[k]] + after) / 2, -1.0, 1.0))
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, langs: np.ndarray, least: int = 20) -> tuple[dict[str, float], float]:
+def calibrate(scores: np.ndarray, labels: np.ndarray, langs: np.ndarray, counts: np.ndarray | None = None, least: int = 20) -> tuple[dict[str, float], float]:
     """Thresholds by language from scores of unseen documents, ``""`` for languages with under ``least`` flagged ones,
-    and the F1 reached on them."""
-    if labels.sum() < 5:
+    and the F1 reached on them. ``counts`` has the documents of each score, else one."""
+    counts = np.ones(len(scores)) if counts is None else counts
+    hits = labels * counts
+    if hits.sum() < 5:
         return {"": 0.0}, 0.0
-    found = {"": best_threshold(scores, labels)}
+    found = {"": best_threshold(scores, labels, counts)}
     for lang in sorted({str(x) for x in langs}):
-        if labels[langs == lang].sum() >= least:
-            found[lang] = best_threshold(scores[langs == lang], labels[langs == lang])
+        at = langs == lang
+        if hits[at].sum() >= least:
+            found[lang] = best_threshold(scores[at], labels[at], counts[at])
     guess = scores >= np.array([found.get(x, found[""]) for x in langs])
-    return found, float(2 * (guess & (labels > 0)).sum() / max(1, guess.sum() + labels.sum()))
+    return found, float(2 * hits[guess].sum() / max(1, counts[guess].sum() + hits.sum()))
 
 
 def learn(documents: DataFrame, reviews: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "review_label") -> tuple[Model, dict[str, float], float]:
-    """Model, thresholds and F1 on unseen halves, from at most ``MAX_REVIEWS`` reviewed documents, chosen by a hash.
+    """Model, thresholds and F1 on unseen documents. The model is from at most ``MAX_REVIEWS`` reviewed documents, chosen
+    by a hash; the thresholds are from all: those beyond are scored in Spark by the models of halves and counted.
 
     Reviews of a document that contradict each other equally are left out; without any review the seeds alone train.
     """
-    rated = reviews.where(f"{id_col} is not null and {label} is not null").groupBy(id_col).agg(F.avg((F.lower(F.trim(label)) != "ok").cast("int")).alias("y"))
-    rated = rated.where("y <> 0.5").orderBy(F.xxhash64(id_col)).limit(MAX_REVIEWS)
-    rows = documents.select(id_col, F.col(text).alias("text")).join(rated, id_col).where("text is not null").dropDuplicates([id_col]).select(id_col, "text", "y").toPandas().sort_values(id_col)
+    rated = reviews.where(f"{id_col} is not null and {label} is not null").groupBy(id_col).agg(F.avg((F.lower(F.trim(label)) != "ok").cast("int")).alias("y")).where("y <> 0.5")
+    picked = rated.orderBy(F.xxhash64(id_col), id_col).limit(MAX_REVIEWS)
+
+    def read(some: DataFrame) -> DataFrame:
+        return documents.select(id_col, F.col(text).alias("text")).join(some, id_col).where("text is not null").dropDuplicates([id_col]).select(id_col, "text", "y")
+
+    rows = read(picked).toPandas().sort_values(id_col)
     docs = [passages(t) for t in rows["text"]]
     labels = (rows["y"].to_numpy(dtype=float) > 0.5).astype(np.float32)
-    model, unseen = train(docs, labels)
-    thresholds, f1 = calibrate(unseen, labels, np.array([language(t) for t in rows["text"]], dtype=object))
+    model, scores, halves = train(docs, labels)
+    langs, counts = np.array([language(t) for t in rows["text"]], dtype=object), np.ones(len(rows))
+    if rated.count() > MAX_REVIEWS:
+        more = _counted(read(rated.join(picked.select(id_col), id_col, "left_anti")), halves, id_col).toPandas()
+        scores, labels = np.r_[scores, more["logit"].to_numpy(dtype=float)], np.r_[labels, more["bad"].to_numpy(dtype=np.float32)]
+        langs, counts = np.r_[langs, more["lang"].to_numpy(dtype=object)], np.r_[counts, more["n"].to_numpy(dtype=float)]
+    thresholds, f1 = calibrate(scores, labels, langs, counts)
     return model, thresholds, f1
 
 
+def _counted(rows: DataFrame, halves: list[Model], id_col: str) -> DataFrame:
+    """``lang, logit, bad, n`` of ``id, text, y``: documents by language, logit to two places and label."""
+    parts = [score_documents(rows.where(F.pmod(F.xxhash64(id_col), F.lit(2)) == f), half, {"": 0.0}, id_col, "text", ("y",)) for f, half in enumerate(halves)]
+    odds = F.ln(F.col("score") / (1 - F.col("score")))
+    logit = F.when(F.col("score") <= 2e-9, -20.0).when(F.col("score") >= 1 - 2e-9, 20.0).otherwise(F.round(odds, 2))
+    return parts[0].unionAll(parts[1]).groupBy("lang", logit.alias("logit"), (F.col("y") > 0.5).cast("int").alias("bad")).agg(F.count("*").alias("n"))
+
+
 def score_documents(documents: DataFrame, model: Model, thresholds: dict[str, float], id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, *keep, score, lang, flagged`` of every row; whole texts, one pass, no shuffle.
 
