@@ -55,3 +55,10 @@ def test_edges(spark):
 @pytest.mark.parametrize("text,lang", [("The genes differ and this is not the same", "en"), ("Los genes son distintos y no se sabe por qué", "es"), ("Les gènes sont différents et on ne sait pas pourquoi", "fr"), ("Die Gene sind verschieden und man weiß nicht warum", "de"), ("Os genes são diferentes e não se sabe por quê", "pt"), ("这些基因不同", "zh"), ("Гены различаются", "ru"), ("", "und"), ("X12", "und")])
 def test_language(text, lang):
     assert language(text) == lang
+
+
+@pytest.mark.parametrize("times", [5, 6, 40, 20_000])
+def test_question_told_many_times(times):
+    q = "Which gene causes the type 2 disease?"
+    assert P.is_copy(q, " ".join([q] * times)) and P.is_copy(q, "Answer: " + " ".join([q] * times) + " Which gene")
+    assert not P.is_copy(q, " ".join([q] * times) + " It is FBN1.") and not P.is_copy(q, "gene which disease the " * 4 * times)
