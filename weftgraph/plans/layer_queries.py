@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text
-from weftgraph.operators import layers, ranking
+from weftgraph.operators import layers, ontology, ranking, similarity
 from weftgraph.plans import analogue, similarity_queries
-from weftgraph.session import table
+from weftgraph.session import cut, table
 
 
 def _latest_diseases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,12 @@ def layer_gene_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.gene_layer(table(spark, sf_dir, "cluster_disease_genes"), profiles)[1].select("edge_id", "source_id", "target_id")
 
 
+def disease_gene_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of diseases that share a causal gene, by the information content of their genes."""
+    genes = cut(layer_gene_edges(spark, sf_dir).select(F.col("source_id").alias("entity"), F.col("target_id").alias("term")).distinct())
+    return similarity.simgic(genes, cut(ontology.information_content(genes))).select("a", "b", F.round("score", 6).alias("score"))
+
+
 def layer_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pathways that two or more suppliers share, in the star-schema reading."""
     li = analogue.lines(spark, sf_dir)
@@ -67,7 +73,7 @@ def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.checks({"no null key": F.count_if(F.col("c_custkey").isNull()), "keys are unique": F.count("*") == F.count_distinct("c_custkey"), "no debt": F.count_if(F.col("c_acctbal") < 0)}, c)
 
 
-QUERIES = {f.__name__: f for f in (layer_diseases, layer_genes, layer_gene_edges, layer_pathways, layer_similarity, resource_links, sentence_cut, table_checks)}
+QUERIES = {f.__name__: f for f in (layer_diseases, layer_genes, layer_gene_edges, disease_gene_pairs, layer_pathways, layer_similarity, resource_links, sentence_cut, table_checks)}
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY disease_id ORDER BY retrieved_at DESC, row_id DESC) AS r FROM cluster_diseases) WHERE r = 1"
 ORACLE = {
     "layer_diseases": f"""WITH d AS ({_LATEST}), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY disease_id ORDER BY cluster_combined, cluster_mechanism, cluster_phenotype) AS r FROM disease_clusters) WHERE r = 1)
@@ -77,6 +83,11 @@ ORACLE = {
       SELECT 'GENE_SYMBOL:' || gene_symbol AS node_id, gene_symbol AS label, external_id, protein_length AS length FROM s LEFT JOIN p USING (gene_symbol)""",
     "layer_gene_edges": """SELECT DISTINCT 'EDGE:CLX-GENE-' || disease_id || '-' || gene_symbol AS edge_id, disease_id AS source_id, 'GENE_SYMBOL:' || gene_symbol AS target_id FROM cluster_disease_genes
       WHERE coalesce(used_for_scoring, upper(association_type) = 'MENDELIAN') AND coalesce(gene_symbol, '') <> '' AND coalesce(disease_id, '') <> ''""",
+    "disease_gene_pairs": """WITH g AS (SELECT DISTINCT disease_id AS e, gene_symbol AS f FROM cluster_disease_genes
+        WHERE coalesce(used_for_scoring, upper(association_type) = 'MENDELIAN') AND coalesce(gene_symbol, '') <> '' AND coalesce(disease_id, '') <> ''),
+      ic AS (SELECT f, -ln(count(*) / (SELECT count(DISTINCT e) FROM g)) AS w FROM g GROUP BY 1), s AS (SELECT e, sum(w) AS s FROM g JOIN ic USING (f) GROUP BY 1),
+      i AS (SELECT x.e AS a, y.e AS b, sum(w) AS i FROM g x JOIN g y ON x.f = y.f AND x.e < y.e JOIN ic ON ic.f = x.f WHERE w > 0 GROUP BY 1, 2)
+      SELECT a, b, round(i / (p.s + q.s - i), 6) AS score FROM i JOIN s p ON p.e = a JOIN s q ON q.e = b""",
     "layer_pathways": f"WITH {analogue.SQL} SELECT 'REACTOME:' || pathway AS node_id, count(DISTINCT gene) AS genes FROM pw GROUP BY pathway HAVING count(DISTINCT gene) >= 2",
     "layer_similarity": f"""WITH {analogue.SQL} SELECT 'EDGE:CLX-SIM-' || a || '-' || b AS edge_id, CAST(a AS VARCHAR) AS source_id, CASE WHEN relation LIKE 'same_gene%' THEN 'SHARES_CAUSAL_GENE' WHEN relation LIKE 'mechanism%' THEN 'MECHANISM_NEIGHBOR'
       WHEN relation LIKE 'phenotype_look%' THEN 'PHENOTYPE_LOOKALIKE' ELSE 'PHENOTYPE_NEIGHBOR' END AS edge_type, CAST(b AS VARCHAR) AS target_id,
