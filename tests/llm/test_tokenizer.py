@@ -38,10 +38,20 @@ def test_fold_and_heap_agree(spark, monkeypatch):
     monkeypatch.setattr(tk, "FOLD_BYTES", 0)
     assert {r.doc_id: r.ids for r in encoded(spark, rows).collect()} == want
     monkeypatch.setattr(tk, "FOLD_BYTES", 700)
-    monkeypatch.setattr(tk, "HOT", 1)
     assert {r.doc_id: r.ids for r in encoded(spark, rows).collect()} == want
 
 
+def test_words_beyond_the_dictionary_are_folded_where_they_stand(spark, monkeypatch):
+    rows = [*enumerate(TEXTS), *((100 + i, "the cell and the gene") for i in range(30))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: r.ids for r in encoded(spark, rows).collect()}
+    for most in (0, 3):
+        monkeypatch.setattr(tk.dictionary, "__defaults__", (most,))
+        head, longer = tk.dictionary(df, "text", PATH)
+        assert len(head) <= most and longer
+        assert {r.doc_id: r.ids for r in encoded(spark, rows).collect()} == want
+
+
 def test_every_piece_is_one_id_as_a_word(reference):
     ranks = tk.ranks(PATH)
     import re

@@ -49,9 +49,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that the ids of every document decode to."""
+    return p6_ids(spark, sf_dir).select("doc_id", tokenizer.decode(F.col("ids")).alias("text"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
-    sized = docs.select("doc_id", "source").join(tokenizer.count_tokens(docs, "doc_id", "text"), "doc_id")
+    sized = tokenizer.with_tokens(docs.select("doc_id", "source", "text"), "text")
     return mixing.mix(sized.select(F.col("doc_id").alias("id"), "source", F.col("n_tokens").alias("size")), targets), targets
 
 
@@ -83,8 +88,9 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_scored(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE = {
+    "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_found": """
     WITH m AS (
       SELECT 'c:' || replace(upper(trim(disease_id, E' \\t\\n\\r')), '_', ':') AS key, unnest(string_split(genes, ';')) AS item FROM disease_clusters WHERE genes IS NOT NULL

@@ -1,11 +1,9 @@
 """Byte-level BPE of a whole corpus with a public rank file.
 
-The distinct words of the corpus are encoded once, by a fold of ranked merges in Spark's higher-order functions over
-the bytes of a word, with the ranks as one literal. Documents then look their words up:
-
-* words that make up at least ``1 / HOT`` of all words (at most ``HOT`` of them, whatever the corpus) are joined by
-  broadcast, so the frequent words, which may be a third of all rows, are never shuffled;
-* all others are joined by a shuffle on the word, in which no key has more than ``1 / HOT`` of the rows.
+A word is encoded by a fold of ranked merges in Spark's higher-order functions over its bytes, with the ranks as one
+literal. The most frequent distinct words of the corpus, at most ``DICTIONARY`` of them however large it is, are encoded
+once and become a second literal in which documents look their words up; the others, the thin end of the distribution,
+are folded where they stand. Only the counts of words are shuffled: no text, no occurrence of a word and no ids are.
 
 Bytes travel as strings of the characters U+0000 to U+00FF, so that pieces can be keys of a map literal.
 """
@@ -20,7 +18,7 @@ import zlib
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,10 +28,12 @@ TOKENIZERS = os.environ.get("WEFTGRAPH_TOKENIZERS", "/opt/tokenizers")
 RANK_FILE = "byte_bpe_50k.tiktoken"
 # fixed values: how the public vocabulary splits text; (?U) gives \s the meaning it has there
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HOT = 1000
+#: Words that are encoded once for all documents: at most so many, the most frequent.
+DICTIONARY = 100_000
 #: Words of more bytes are merged with a heap in Python, which gives the same pieces in n log n instead of n².
 FOLD_BYTES = 96
 _BUCKETS = 8192
+_SLOTS = 1 << 16
 _NONE = 2**31 - 1
 
 
@@ -43,6 +43,11 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
+@lru_cache(maxsize=4)
+def _rank_table(application: str, path: str) -> Column:
+    return _held(_rank_json(path), "array<map<string,int>>")
+
+
 @lru_cache(maxsize=4)
 def _rank_json(path: str) -> str:
     """The rank map as an array of small maps, by CRC-32 of the piece: a lookup reads six entries, not 50,000."""
@@ -58,18 +63,34 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _held(text: str, kind: str) -> Column:
+    """A table given as JSON, as a literal in Spark's binary form: one block of bytes in the plan.
+
+    As a plain literal its hundred thousand objects would be read again by every task, a second or more each.
+    """
+    spark = SparkSession.active()
+    parsed = F.from_json(F.lit(text), kind)
+    try:
+        rows = spark.range(1).select(parsed)._jdf.queryExecution().executedPlan().executeCollect()
+        expressions = spark._jvm.org.apache.spark.sql.catalyst.expressions
+        value = expressions.Literal(rows[0].getArray(0), spark._jvm.org.apache.spark.sql.types.DataType.fromDDL(kind))
+        return Column(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(value))
+    except (AttributeError, TypeError):  # another kind of session
+        return parsed
+
+
 def _as_bytes(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
 def _fold(word: Column, path: str) -> Column:
     """The ids of a word: in each step the leftmost pair of lowest rank becomes one piece."""
-    table = F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
+    table = _rank_table(SparkSession.active().sparkContext.applicationId, path)
     none = F.lit(_NONE)
 
     def encode(rank_table: Column) -> Column:
         def rank(piece: Column) -> Column:
-            return F.get(rank_table, (F.crc32(F.encode(piece, "UTF-8")) % _BUCKETS).cast("int"))[piece]
+            return F.get(rank_table, (F.crc32(piece.cast("binary")) % _BUCKETS).cast("int"))[piece]
 
         def pair(a: Column, b: Column) -> Column:
             return F.coalesce(rank(F.concat(a, b)), none)
@@ -122,10 +143,10 @@ def heap_bpe(piece: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 def _long_words(path: str):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def encode(words: pd.Series) -> pd.Series:
         table = ranks(path)
-        return words.map(lambda w: heap_bpe(w.encode(), table))
+        return words.map(lambda ws: [heap_bpe(w.encode(), table) for w in ws] if ws is not None else None)
 
     return encode
 
@@ -134,26 +155,65 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def word_table(texts: DataFrame, text: str, path: str) -> DataFrame:
-    """Distinct words of all texts with their number and ids: ``word, n, ids``; computed once."""
-    counted = texts.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    size = F.octet_length("word")
-    short = counted.where(size <= FOLD_BYTES).select("word", "n", _fold(F.col("word"), path).alias("ids"))
-    rest = counted.where(size > FOLD_BYTES).select("word", "n", _long_words(path)("word").alias("ids"))
-    return cut(short.unionAll(rest))
+def word_counts(texts: DataFrame, text: str) -> DataFrame:
+    """``word, n`` of all texts; partial counts are made before the shuffle."""
+    return texts.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _placed(texts: DataFrame, keys: list[str], text: str, path: str, value: Column, empty: Column) -> DataFrame:
-    """``keys, pos, v`` for each word of each text, ``v`` being ``value`` of the word's ids; ``empty`` without a word."""
-    table = word_table(texts, text, path)
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = table.where(F.col("n") * HOT >= total).select("word", value.alias("v"))
-    cold = table.where(F.col("n") * HOT < total).select("word", value.alias("v"))
-    words = texts.select(*keys, F.posexplode_outer(words_of(F.col(text))).alias("pos", "word"))
-    probed = words.join(F.broadcast(hot), "word", "left")
-    near = probed.where("v is not null or word is null").select(*keys, F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("v", empty).alias("v"))
-    far = probed.where("v is null and word is not null").drop("v").join(cold, "word").select(*keys, "pos", "v")
-    return near.unionAll(far)
+def dictionary(texts: DataFrame, text: str, path: str, most: int = DICTIONARY) -> tuple[list, bool]:
+    """Rows ``b, word, ids`` of the most frequent words of at most ``FOLD_BYTES`` bytes, and whether any word is longer.
+
+    A threshold on counts is taken from a histogram of eighths of a doubling, so that at most ``most`` words, however
+    large the corpus, come to the driver; each is encoded once, by the fold.
+    """
+    counted = cut(word_counts(texts, text).withColumn("b8", F.floor(8 * F.log2("n")).cast("int")))
+    short = counted.where(F.octet_length("word") <= FOLD_BYTES)
+    least, room = None, most
+    for r in sorted(short.groupBy("b8").agg(F.count("*").alias("k")).collect(), key=lambda r: -r.b8):  # at most 512 rows
+        room -= r.k
+        if room < 0:
+            break
+        least = r.b8
+    longer = not counted.where(F.octet_length("word") > FOLD_BYTES).isEmpty()
+    if least is None:
+        return [], longer
+    head = short.where(F.col("b8") >= least).repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism))
+    return head.select(F.pmod(F.hash("word"), F.lit(_SLOTS)).alias("b"), "word", _fold(F.col("word"), path).alias("ids")).collect(), longer
+
+
+def _slots(rows: list, value) -> Column:
+    """The dictionary as one literal: an array of small maps, of which a lookup reads one or two entries."""
+    slots: list[dict] = [{} for _ in range(_SLOTS)]
+    for r in rows:
+        slots[r.b][r.word] = value(r.ids)
+    kind = "array<map<string,array<int>>>" if not rows or isinstance(value(rows[0].ids), list) else "array<map<string,int>>"
+    return _held(json.dumps(slots), kind)
+
+
+def _spelled(df: DataFrame, text: str, path: str, size_only: bool) -> tuple[DataFrame, Column]:
+    """``df`` with helper columns, and what each word of a text becomes: its ids, or with ``size_only`` their number.
+
+    Words of the dictionary are looked up, others folded where they stand; long ones go through the heap in batches.
+    No word and no text is shuffled.
+    """
+    rows, longer = dictionary(df, text, path)
+    take = F.size if size_only else (lambda ids: ids)
+    words = words_of(F.col(text))
+    big = lambda w: F.octet_length(w) > FOLD_BYTES
+    if longer:
+        # a word of more bytes has at least FOLD_BYTES / 4 characters without or of white space in a row
+        run = rf"(?U)\S{{{max(1, FOLD_BYTES // 4)}}}|\s{{{max(1, FOLD_BYTES // 4)}}}"
+        df = df.withColumn("__far", F.when(F.col(text).rlike(run), F.array_distinct(F.filter(words, big)))).withColumn("__far_ids", _long_words(path)("__far"))
+
+    def one(w: Column, slots: Column | None) -> Column:
+        out = take(_fold(w, path))
+        if longer:
+            out = F.when(big(w), take(F.element_at("__far_ids", F.array_position("__far", w).cast("int")))).otherwise(out)
+        return F.coalesce(F.get(slots, F.pmod(F.hash(w), F.lit(_SLOTS)))[w], out) if slots is not None else out
+
+    if not rows:
+        return df, F.transform(words, lambda w: one(w, None))
+    return df, _let(_slots(rows, len if size_only else list), lambda slots: F.transform(words, lambda w: one(w, slots)))
 
 
 def encode_corpus(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
@@ -164,24 +224,30 @@ def encode_corpus(df: DataFrame, id_col: str, text: str, path: str | None = None
     id as null. An empty table gives none. Only the two columns are read. Words of any length are encoded whole.
     """
     path = path or f"{TOKENIZERS}/{RANK_FILE}"
-    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumns({"h": F.xxhash64("text"), "len": F.length("text")})
-    rows = _placed(texts, ["id", "h", "len"], "text", path, F.col("ids"), F.array().cast("array<int>"))
-    placed = rows.groupBy("id", "h", "len").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("w"))
-    # repeats of a row give each position more than once
-    once = F.filter("w", lambda x, i: (i == 0) | (x["pos"] != F.get(F.col("w"), i - 1)["pos"]))
-    return placed.select(F.col("id").alias(id_col), F.flatten(F.transform(once, lambda x: x["v"])).alias("ids"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    mark = [F.col("id"), F.xxhash64("text").alias("h"), F.length("text").alias("len")]
+    repeated = not texts.select(*mark).groupBy("id", "h", "len").count().where("count > 1").isEmpty()
+    texts, spelled = _spelled(texts, "text", path, size_only=False)
+    out = texts.select(*mark, F.coalesce(F.flatten(spelled), F.array().cast("array<int>")).alias("ids"))
+    if repeated:
+        out = out.dropDuplicates(["id", "h", "len"])
+    return out.select(F.col("id").alias(id_col), "ids")
+
+
+def with_tokens(df: DataFrame, text: str, out: str = "n_tokens", path: str | None = None) -> DataFrame:
+    """``df`` with the number of tokens of ``text``, row by row; empty and null texts have 0."""
+    rows, sizes = _spelled(df, text, path or f"{TOKENIZERS}/{RANK_FILE}", size_only=True)
+    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return rows.select(*df.columns, F.coalesce(total, F.lit(0).cast("bigint")).alias(out))
 
 
 def count_tokens(df: DataFrame, id_col: str, text: str, path: str | None = None) -> DataFrame:
-    """``id, n_tokens`` by the same word table, without the ids; empty and null texts have 0. Ids must be unique."""
-    path = path or f"{TOKENIZERS}/{RANK_FILE}"
-    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    rows = _placed(texts, ["id"], "text", path, F.size("ids").cast("bigint"), F.lit(0).cast("bigint"))
-    return rows.groupBy("id").agg(F.sum("v").alias("n_tokens")).withColumnRenamed("id", id_col)
+    """``id, n_tokens`` of each row."""
+    return with_tokens(df.select(F.col(id_col), F.col(text).alias("__text")), "__text", path=path).drop("__text")
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
     """The text of ids: their pieces one after another, as UTF-8."""
     by_id = sorted(ranks(path or f"{TOKENIZERS}/{RANK_FILE}").items(), key=lambda x: x[1])
-    pieces = F.from_json(F.lit(json.dumps([p.decode("latin-1") for p, _ in by_id])), "array<string>")
+    pieces = _held(json.dumps([p.decode("latin-1") for p, _ in by_id]), "array<string>")
     return _let(pieces, lambda all_: F.decode(F.encode(F.array_join(F.transform(ids, lambda i: F.get(all_, i)), ""), "ISO-8859-1"), "UTF-8"))
