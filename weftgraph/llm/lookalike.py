@@ -1,9 +1,12 @@
 """One form for texts that look the same.
 
-Distinct texts with any character beyond ASCII are exploded to positioned code points. A broadcast table, which is
-made from the Unicode data by rule and has a fixed size, gives each code point its parts: canonical decompositions,
-widths, ligatures, blanks, hyphens, look-alike letters, and nothing for invisible characters. Marks are then ordered
-by combining class behind their base, recomposed, and the strings rebuilt. ASCII texts are their own form.
+Distinct pieces of texts with any character beyond ASCII are exploded to positioned code points. A broadcast table,
+which is made from the Unicode data by rule and has a fixed size, gives each code point its parts: canonical
+decompositions, widths, ligatures, blanks, hyphens, look-alike letters, and nothing for invisible characters. Marks are
+then ordered by combining class behind their base, recomposed, and the strings rebuilt. ASCII texts are their own form.
+
+Letters in another type (mathematical bold, italic, script and the like) are drawn differently, so they are kept as
+another look; so are raised digits, quotes and dashes.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.blocks import pairs_within
 from weftgraph.session import cut
 
 # fixed values: letters of other scripts that look like a Latin letter
@@ -32,9 +36,16 @@ _ALIKE = {
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "Օ": "O", "Ս": "U", "Տ": "S",
     # Cherokee
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꭹ": "Y", "Ꮓ": "Z",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
     # Latin letters of the phonetic alphabet, and the micro sign
     "ɡ": "g", "ɑ": "a", "µ": "μ",
 }
+_ODD = r"[^\x00-\x7F]"
+_BREAK = r"(?=[ \t\n\r\p{IsHan}])"
+HOT = 1000
 _HYPHENS = "‐‑﹣－"
 _LIGATURES = [*range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2160, 0x2180)]
 
@@ -119,12 +130,30 @@ def _compose(cluster: Column, pairs: Column) -> Column:
 def canonical_forms(texts: DataFrame, text: str) -> DataFrame:
     """``tid, canonical`` of each distinct text that is not plain ASCII; ``tid`` is the MD5 of the text.
 
-    Null texts have no row. An empty form (only invisible characters) is ``''``. Texts of any length are handled whole.
+    Null texts have no row. An empty form (only invisible characters) is ``''``. Texts of any length are handled whole:
+    each is cut before blanks and ideographs, which no mark of another piece can change, and only the distinct pieces
+    that are not ASCII are exploded. Texts look their pieces up: those in at least ``1 / HOT`` of the places, so at
+    most ``HOT``, by broadcast, the others by a join on the piece.
     """
-    spark = texts.sparkSession
-    odd = texts.select(F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]")).distinct().select(F.md5("text").alias("tid"), "text")
-    points = odd.select("tid", F.posexplode(F.split("text", "")).alias("pos", "ch"))
-    table = F.broadcast(code_point_table(spark))
+    odd = texts.select(F.col(text).alias("text")).where(F.col("text").rlike(_ODD)).distinct().select(F.md5("text").alias("tid"), "text")
+    cut_ = F.transform(F.split("text", _BREAK), lambda p, i: F.struct(i.alias("pos"), p.alias("s")))
+    places = odd.select("tid", F.inline(F.filter(cut_, lambda x: x["s"].rlike(_ODD))))
+    counts = cut(places.groupBy("s").agg(F.count("*").alias("n")))
+    forms = cut(counts.join(_piece_forms(counts.select(F.col("s").alias("tid"))), counts["s"] == F.col("tid"), "left").select("s", "n", F.coalesce("canonical", F.lit("")).alias("form")))
+    total = forms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * HOT >= total
+    probed = places.join(F.broadcast(forms.where(hot).select("s", "form")), "s", "left")
+    found = probed.where("form is not null").select("tid", "pos", "form").unionAll(probed.where("form is null").drop("form").join(forms.where(~hot).select("s", "form"), "s").select("tid", "pos", "form"))
+    changed = found.groupBy("tid").agg(F.collect_list(F.struct("pos", F.col("form").alias("s"))).alias("m"))
+    plain = F.filter(cut_, lambda x: ~x["s"].rlike(_ODD))
+    whole = F.array_join(F.transform(F.array_sort(F.concat(plain, F.col("m"))), lambda x: x["s"]), "")
+    return odd.join(changed, "tid").select("tid", whole.alias("canonical"))
+
+
+def _piece_forms(pieces: DataFrame) -> DataFrame:
+    """``tid, canonical`` of distinct pieces ``tid``; none for pieces of invisible characters only."""
+    points = pieces.select("tid", F.posexplode(F.split("tid", "")).alias("pos", "ch"))
+    table = F.broadcast(code_point_table(pieces.sparkSession))
     plain = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("k")))
     parts = points.join(table, "ch", "left").select("tid", "pos", F.coalesce("parts", plain).alias("parts"))
     # one row per part, numbered by the base it stands behind
@@ -133,8 +162,7 @@ def canonical_forms(texts: DataFrame, text: str) -> DataFrame:
     ordered = spans.groupBy("tid", "base").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "sub", "c"))).alias("m"))
     pairs = F.from_json(F.lit(_pairs_json()), "array<map<string,string>>")
     composed = ordered.select("tid", "base", F.when(F.size("m") == 1, F.get("m", 0)["c"]).otherwise(F.element_at(F.transform(F.array(pairs), lambda p: _compose(F.col("m"), p)), 1)).alias("s"))
-    rebuilt = composed.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("base", "s"))).alias("a")).select("tid", F.array_join(F.col("a.s"), "").alias("canonical"))
-    return odd.select("tid").join(rebuilt, "tid", "left").select("tid", F.coalesce("canonical", F.lit("")).alias("canonical"))
+    return composed.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("base", "s"))).alias("a")).select("tid", F.array_join(F.col("a.s"), "").alias("canonical"))
 
 
 def _by_place():
@@ -151,19 +179,31 @@ def canonicalise(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     return df.withColumn(tid, F.when(F.col(text).rlike(r"[^\x00-\x7F]"), F.md5(F.col(text)))).join(forms, tid, "left").withColumn(out, F.coalesce("__form", F.col(text))).drop(tid, "__form")
 
 
-def same_look_pairs(rows: DataFrame, group_rows: int = 2_000) -> DataFrame:
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``field_name, id, look, raw`` of distinct rows ``field_name, id, text`` with a letter."""
+    rows = rows.where("text is not null and id is not null").distinct()
+    keyed = canonicalise(rows, "text").where(F.col("canonical").rlike(r"\p{L}"))
+    return cut(keyed.select("field_name", "id", F.md5("canonical").alias("look"), F.md5("text").alias("raw")))
+
+
+def same_look_pairs(rows: DataFrame, block_rows: int = 2_000) -> DataFrame:
     """``field_name, id_a, id_b`` (id_a < id_b): rows of a field whose texts look alike but differ in characters.
 
     ``rows`` has ``field_name, id, text``. Null texts, texts without a letter and null ids give no pair; exact repeats
-    of a row count once. A look shared by many rows is joined in blocks of about ``group_rows`` rows on one side.
+    of a row count once. Rows of a look are paired in cells of two blocks, so a look may be shared by any share of the
+    rows. :func:`look_classes` says the same without writing pairs out.
     """
-    rows = rows.where("text is not null and id is not null").distinct()
-    keyed = canonicalise(rows, "text").where(F.col("canonical").rlike(r"\p{L}"))
-    keyed = cut(keyed.select("field_name", "id", F.md5("canonical").alias("look"), F.md5("text").alias("raw")))
-    looks = keyed.groupBy("field_name", "look").agg(F.count("*").alias("n"), F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi")
-    looks = looks.select("field_name", "look", F.ceil(F.col("n") / group_rows).cast("int").alias("blocks"))
-    mixed = keyed.join(looks, ["field_name", "look"])
-    left = mixed.select("field_name", "look", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
-    right = mixed.select("field_name", "look", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    pairs = left.join(right, ["field_name", "look", "block"]).where("id_a < id_b and raw_a <> raw_b")
-    return pairs.select("field_name", "id_a", "id_b").distinct()
+    keyed = _keyed(rows)
+    mixed = keyed.groupBy("field_name", "look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field_name", "look")
+    pairs = pairs_within(keyed.join(mixed, ["field_name", "look"], "left_semi"), ["field_name", "look"], "id", block_rows)
+    return pairs.where("raw_a <> raw_b").select("field_name", "id_a", "id_b").distinct()
+
+
+def look_classes(rows: DataFrame) -> DataFrame:
+    """``field_name, id, look, links`` of every row with a letter: the class of its look and how many rows of the field
+    look like it but differ in characters. As :func:`same_look_pairs` in every other case."""
+    keyed = _keyed(rows)
+    texts = keyed.groupBy("field_name", "look", "raw").agg(F.count_distinct("id").alias("same"))
+    looks = texts.groupBy("field_name", "look").agg(F.sum("same").alias("whole"))
+    links = texts.join(looks, ["field_name", "look"]).select("field_name", "look", "raw", (F.col("whole") - F.col("same")).alias("links"))
+    return keyed.join(links, ["field_name", "look", "raw"]).select("field_name", "id", "look", "links")

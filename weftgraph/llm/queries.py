@@ -29,6 +29,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(_texts(spark, sf_dir))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's class of look, with the number of texts that only look the same."""
+    return lookalike.look_classes(_texts(spark, sf_dir))
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its one form."""
     return lookalike.canonicalise(_texts(spark, sf_dir).distinct(), "text").select("field_name", "id", "canonical")
@@ -88,7 +93,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_scored(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE = {
     "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_found": """
