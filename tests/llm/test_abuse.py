@@ -86,6 +86,28 @@ def test_without_reviews(spark):
     assert limits == {"": 0.0} and model.logits([("you", "are", "an", "idiot")])[0] > 0
 
 
+def test_no_seed_is_in_the_tables():
+    import re
+
+    import pyarrow.dataset as ds
+    from weftgraph.llm.seeds import UNWANTED
+    from weftgraph.llm.text import fold
+
+    def runs(text):
+        ws = re.findall(r"[㐀-鿿]|[^\W\d_]+(?:'[^\W\d_]+)*", fold(text).casefold())
+        n = min(len(ws), 4 if re.search(r"[㐀-鿿]", text) else 3)
+        return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+
+    wanted = {r for s in UNWANTED for r in runs(s)}
+    sizes = {len(r) for r in wanted}
+    for scale in ("sf0.001", "sf0.01", "sf0.1"):
+        texts = ds.dataset(f"/root/testdata/{scale}/documents.parquet").to_table(columns=["text"])["text"].to_pylist()
+        for part in {p for t in texts if t for p in re.split(r"[.!?。！？\n]+", t)}:
+            ws = re.findall(r"[㐀-鿿]|[^\W\d_]+(?:'[^\W\d_]+)*", fold(part).casefold())
+            found = {tuple(ws[i : i + n]) for n in sizes for i in range(len(ws) - n + 1)} & wanted
+            assert not found
+
+
 def test_thresholds_cover_reviews_beyond_the_fit(spark, monkeypatch):
     monkeypatch.setattr(A, "MAX_REVIEWS", 40)
     good, bad = "Die Studie ist seit dem Jahr {} offen und wird von der Klinik geführt.", "Du bist ein dummer Idiot und nicht mehr wert als der Müll {}."

@@ -20,18 +20,19 @@ import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.seeds import HARMLESS, UNWANTED
+from weftgraph.llm.seeds import UNWANTED
 from weftgraph.llm.text import CITATION, fold, language
 
 MAX_REVIEWS = 20_000
 PASSAGE, OVERLAP = 14, 7
-EPOCHS = 12
+EPOCHS = 8
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 24, 24, (1, 2, 3, 5)
 _LEET = str.maketrans("0134579@$!", "oieastgasi")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*·|/])[^\W\d_](?![^\W_])){2,}(?![^\W_])")
@@ -61,41 +62,46 @@ def words(text: str) -> list[str]:
     return _words(_undone(text))
 
 
+@lru_cache(maxsize=1 << 18)
+def _word(w: str) -> str:
+    if w.isdigit():
+        w = "0"
+    elif re.fullmatch(r"[^\W\d_]{2,}\d+", w):
+        w = "g0"
+    elif re.search(r"[^\W\d_][\d@$!]+[^\W\d_]", w) or w[0] in "@$!" or w[-1] == "$":
+        w = w.translate(_LEET)
+    return sys.intern(re.sub(r"(.)\1{2,}", r"\1", w.casefold()))
+
+
 def _words(text: str) -> list[str]:
-    out = []
-    for w in _TOKEN.findall(_CJK.sub(r" \1 ", text)):
-        if w.isdigit():
-            w = "0"
-        elif re.fullmatch(r"[^\W\d_]{2,}\d+", w):
-            w = "g0"
-        elif re.search(r"[^\W\d_][\d@$!]+[^\W\d_]", w) or w[0] in "@$!" or w[-1] == "$":
-            w = w.translate(_LEET)
-        out.append(sys.intern(re.sub(r"(.)\1{2,}", r"\1", w.casefold())))
-    return out
+    return [_word(w) for w in _TOKEN.findall(text if text.isascii() else _CJK.sub(r" \1 ", text))]
 
 
-def passages(text: str | None) -> list[tuple[str, ...]]:
-    """All passages of a text, also in the other reading where it has two; none for a null or empty one."""
+def readings(text: str | None) -> list[str]:
+    """The sentences of a text with its disguises undone, then those that only the other reading has."""
     if not text:
         return []
     plain = CITATION.sub(" ", fold(text))
+    if _SPACED.search(plain) is None and "!" not in plain:
+        return _SENTENCE.split(plain)
     first, other = _undone(plain), _undone(plain, other=True)
-    out = _cut(first)
+    out = _SENTENCE.split(first)
     if other != first:
         known = set(out)
-        out += [p for p in _cut(other) if p not in known]
+        out += [s for s in _SENTENCE.split(other) if s not in known]
     return out
 
 
-def _cut(text: str) -> list[tuple[str, ...]]:
-    out = []
-    for sentence in _SENTENCE.split(text):
-        ws = _words(sentence)
-        if not ws:
-            continue
-        for i in range(0, max(1, len(ws) - OVERLAP), PASSAGE - OVERLAP):
-            out.append(tuple(ws[i : i + PASSAGE]))
-    return out
+@lru_cache(maxsize=1 << 17)
+def _cut(sentence: str) -> tuple[tuple[str, ...], ...]:
+    """The passages of a sentence; many sentences come again in other documents."""
+    ws = _words(sentence)
+    return tuple(tuple(ws[i : i + PASSAGE]) for i in range(0, max(1, len(ws) - OVERLAP), PASSAGE - OVERLAP)) if ws else ()
+
+
+def passages(text: str | None) -> list[tuple[str, ...]]:
+    """All passages of a text, also in the other reading where it has two; none for a null or empty one."""
+    return list(dict.fromkeys(p for s in readings(text) for p in _cut(s)))
 
 
 _IDS: dict[str, tuple[int, int, int, int]] = {}
@@ -229,14 +235,12 @@ def _telling(docs: list[list[tuple[str, ...]]], labels: np.ndarray) -> dict[str,
 def _fit_passages(ones: list[tuple[str, ...]], clean: dict[tuple[str, ...], float], seed: int) -> Model:
     """``clean`` has a weight of each passage, such as the number of clean documents with it."""
     rng = np.random.default_rng(seed)
+    model = Model(seed)
     ones = ones + [tuple(words(fold(s))) for s in UNWANTED]
     zeros = sorted(clean)
-    weight = np.array([clean[p] for p in zeros], dtype=float)
-    zeros = zeros + [tuple(words(fold(s))) for s in HARMLESS]
-    weight = np.r_[np.sqrt(np.minimum(weight, 25)), np.full(len(HARMLESS), 2.0)]
+    weight = np.sqrt(np.minimum(np.array([clean[p] for p in zeros], dtype=float), 25))
     y = np.r_[np.ones(len(ones)), np.zeros(len(zeros))].astype(np.float32)
     w = np.r_[np.full(len(ones), np.clip(weight.sum() / len(ones) / 2, 0.5, 6)), weight].astype(np.float32)
-    model = Model(seed)
     fit(ones + zeros, y, w, EPOCHS, model, rng)
     return model
 
@@ -306,7 +310,7 @@ def document_logits(model: Model, docs: list[list[tuple[str, ...]]]) -> np.ndarr
     return out
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray, slack: float = 0.01) -> float:
+def best_threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray, slack: float = 0.03) -> float:
     """The lowest logit whose F1 is within ``slack`` of the best, in the middle of its gap, kept between -1 and 1.
 
     The lowest, as the scores come from models of half the reviews, which are less sure than the one that is used.

@@ -29,7 +29,7 @@ def without_quotations(text: str) -> str:
 
 
 # fixed values: frequent words of each language; a word of several languages counts for each in part
-_FREQUENT = {
+FREQUENT = {
     "en": "the of and is are was were to for with in that this these those by on at as it from be been can has have had which what who whose how why or an not but its their they we you your our if than then there does do did will would should about before after between into only also more most may might many some such because while any all each other another same first explain simple words please tell there's causes start join careful when compare comparing patients",
     "es": "el la los las de del que en un una unos unas y o se por para con sin su sus es son fue al lo como más pero no sobre este esta estos estas ese esa hay algún alguna qué cuál cuáles cómo por qué quién dónde entre cuando también muy ya así antes después según otra otro muchas muchos puede pueden debe deben está están ha han ser palabras causa explica",
     "fr": "le la les de des du un une et ou est sont a au aux en dans que qui quel quelle quels quelles pour par avec sans sur ce cette ces son sa ses leur leurs il elle ils elles on nous vous ne pas plus mais comme donc avant après entre beaucoup peut doit été être fait il y existe expliquez cause mots",
@@ -39,7 +39,7 @@ _FREQUENT = {
     "nl": "de het een en of is zijn was van voor met in op aan als niet maar ook dat die dit deze wat welke hoe waarom er naar door over tussen worden wordt kan kunnen heeft hebben veel",
 }
 _WEIGHT: dict[str, dict[str, float]] = {}
-for _lang, _words in _FREQUENT.items():
+for _lang, _words in FREQUENT.items():
     for _w in set(_words.split()):
         _WEIGHT.setdefault(_w, {})[_lang] = 1.0
 for _w, _langs in _WEIGHT.items():
@@ -70,23 +70,27 @@ def _script(ch: str) -> str | None:
     return None
 
 
+@lru_cache(maxsize=1 << 17)
+def _word_evidence(word: str) -> tuple[tuple[str, float], ...]:
+    scripts = None if word.isascii() else Counter(s for s in map(_script, word) if s)
+    if not scripts:
+        return tuple(_WEIGHT.get(word, {}).items())
+    script, n = scripts.most_common(1)[0]
+    if script in ("zh", "ja", "ko", "th"):
+        return ((script, n / 2),)
+    if n >= 3 or n == len(word):
+        return ((script, 1.0),) if script != "el" or len(word) > 2 else ()
+    return ()
+
+
 def language_evidence(text: str, names: frozenset[str] = frozenset()) -> Counter:
     """Evidence for each language, in words; quotations, citations and the words of ``names`` have none."""
     text = fold(without_quotations(CITATION.sub(" ", text)).casefold())
     found: Counter = Counter()
     for word in _WORD.findall(text):
-        if word in names:
-            continue
-        scripts = None if word.isascii() else Counter(s for s in map(_script, word) if s)
-        if scripts:
-            script, n = scripts.most_common(1)[0]
-            if script in ("zh", "ja", "ko", "th"):
-                found[script] += n / 2
-            elif n >= 3 or n == len(word):
-                found[script] += 1 if script != "el" or len(word) > 2 else 0
-            continue
-        for lang, weight in _WEIGHT.get(word, {}).items():
-            found[lang] += weight
+        if word not in names:
+            for lang, weight in _word_evidence(word):
+                found[lang] += weight
     if found["ja"] and found["zh"]:
         found["ja"] += found.pop("zh")
     return found
