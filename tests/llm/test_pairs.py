@@ -62,3 +62,29 @@ def test_question_told_many_times(times):
     q = "Which gene causes the type 2 disease?"
     assert P.is_copy(q, " ".join([q] * times)) and P.is_copy(q, "Answer: " + " ".join([q] * times) + " Which gene")
     assert not P.is_copy(q, " ".join([q] * times) + " It is FBN1.") and not P.is_copy(q, "gene which disease the " * 4 * times)
+
+
+@pytest.mark.parametrize("text", ["I must abstain.", "I won't go there.", "申し訳ありませんが、お答えできません。", "죄송합니다. 답변해 드릴 수 없습니다.", "Mi dispiace, non posso rispondere a questa domanda.", "Helaas kan ik deze vraag niet beantwoorden.", "عذرا، لا يمكنني الإجابة على هذا السؤال."])
+def test_refusals_of_more_languages(text):
+    assert P.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["Das Gen ist GBA1.", "El gen es GBA1.", "Sjukdomen orsakas av en mutation i genen.", "Chorobę powoduje mutacja w genie."])
+def test_short_answers_and_languages_without_word_lists(text):
+    assert P.in_other_language("Which gene causes the disease?", text)
+    assert not P.in_other_language("Which gene causes the disease?", "Autosomal recessive inheritance, GBA1 and Qorilo")
+
+
+@pytest.mark.parametrize("text,rest", [
+    ("<ul><li>one</li>", ["<ul>"]), ("<ul><li>one</li></ul>", []), ("a *very important", ["*"]), ("a *very* important", []), ("p.Asn370Ser* is rare", []), ("```\nx\n~~~", ["```"]), ("~~~\nx\n~~~", []), ("* one\n* two", []), ("p<0.05 and a<b", []), ("**bold* x", ["**", ]), ("(a [b)", []),
+])
+def test_open_parts(text, rest):
+    assert P.open_parts(text)[: len(rest)] == rest and bool(P.open_parts(text)) == bool(rest)
+
+
+def test_very_short_answers(spark):
+    corpus = [(i, Q, f"Because the enzyme is low, yes, the cells store fat. {i}.") for i in range(150)]
+    short = ["Because the enzy", "Because the", "Yes", "Low", "Gaucher disease", "I am trun"]
+    got = judged(spark, corpus + [(500 + i, Q, x) for i, x in enumerate(short)])
+    assert [got.get(500 + i) for i in range(6)] == ["truncated", "truncated", None, None, None, None]
+    assert judged(spark, [(i, Q, "The text was truncated here.") for i in range(9)] + [(500, Q, "I am trun")]) == {500: "truncated"}

@@ -14,6 +14,7 @@ in the corpus. These counts are taken over all answers, by the pairs of words th
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.tongues import other_tongue
 from weftgraph.llm.text import CITATION, fold, language_evidence, sentences, without_quotations
 from weftgraph.session import cut
 
@@ -29,6 +31,9 @@ _PLACEHOLDERS = set("n/a,n.a,na,tbd,tba,tbc,todo,null,none,nil,nan,undefined,pen
 _LABELS = set("q a question answer you asked your was is so well ok okay the pregunta respuesta frage antwort réponse resposta pergunta вопрос ответ 问题 答案 um hm hmm say".split())
 _LABEL_ONLY = re.compile(r"(?:answer|response|reply|antwort|respuesta|réponse|resposta|ответ|答案)\s*[:：]?", re.I)
 _TOKEN = re.compile(r"\w+")
+_LETTERS = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
+#: Log likelihood a word by which another language must beat the question's where only n-grams tell them apart.
+TONGUE = 1.0
 
 
 def is_empty(answer: str | None) -> bool:
@@ -46,56 +51,33 @@ def tiles(answer: list[str], question: list[str], least: int) -> tuple[list[str]
     """Greedy string tiling: the words of the answer left over, and the number of words of the question covered, by
     common runs of ``least`` words or more.
 
-    The longest run that is still free in both is taken first. The question may be told again: when nothing more fits,
-    its words are free once more for what is left of the answer.
+    The longest run whose words of the answer are still free is taken first; the question may be told again, so its
+    words may be in more than one. Lengths of runs come from the run that starts one word later, and runs that lost
+    words are cut and queued again, so the time is about n log n in the length of the answer.
     """
-    free_a, seen_q = [True] * len(answer), [False] * len(question)
     places: dict[str, list[int]] = {}
     for j, w in enumerate(question):
         places.setdefault(w, []).append(j)
-    while True:
-        free_q, grew = [True] * len(question), False
-        while True:
-            best = (0, 0, 0)
-            for i in range(len(answer)):
-                if not free_a[i] or len(answer) - i <= best[0]:
-                    continue
-                for j in places.get(answer[i], ()):
-                    k = 0
-                    while i + k < len(answer) and j + k < len(question) and free_a[i + k] and free_q[j + k] and answer[i + k] == question[j + k]:
-                        k += 1
-                    if k > best[0]:
-                        best = (k, i, j)
-            if best[0] < least:
-                break
-            grew = True
-            for k in range(best[0]):
-                free_a[best[1] + k] = free_q[best[2] + k] = False
-                seen_q[best[2] + k] = True
-        if not grew:
-            return [w for w, free in zip(answer, free_a) if free], seen_q.count(True)
-
-
-def told_again(answer: list[str], question: list[str], least: int) -> tuple[list[str], int]:
-    """As ``tiles``, for answers that tell the question many times: runs are taken from left to right, in one pass."""
-    rest, seen_q = [], [False] * len(question)
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(question):
-        places.setdefault(w, []).append(j)
-    i = 0
-    while i < len(answer):
-        best = (0, 0)
-        for j in places.get(answer[i], ()):
-            k = 0
-            while i + k < len(answer) and j + k < len(question) and answer[i + k] == question[j + k]:
-                k += 1
-            best = max(best, (k, j), key=lambda x: x[0])
-        if best[0] >= least:
-            seen_q[best[1] : best[1] + best[0]] = [True] * best[0]
-        else:
-            rest.append(answer[i])
-        i += best[0] if best[0] >= least else 1
-    return rest, seen_q.count(True)
+    free, seen = [True] * len(answer), [False] * len(question)
+    queue, later = [], {}
+    for i in range(len(answer) - 1, -1, -1):
+        later = {j: later.get(j + 1, 0) + 1 for j in places.get(answer[i], ())}
+        j, k = max(later.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if k >= least:
+            queue.append((-k, i, j))
+    heapq.heapify(queue)
+    while queue:
+        k, i, j = heapq.heappop(queue)
+        own = 0
+        while own < -k and free[i + own]:
+            own += 1
+        if own < -k:
+            if own >= least:
+                heapq.heappush(queue, (-own, i, j))
+            continue
+        free[i : i + own] = [False] * own
+        seen[j : j + own] = [True] * own
+    return [w for w, f in zip(answer, free) if f], seen.count(True)
 
 
 def is_copy(question: str | None, answer: str) -> bool:
@@ -111,44 +93,55 @@ def is_copy(question: str | None, answer: str) -> bool:
     known = _LABELS.union(q)
     if not q or not a or not all(w in known for w in a):
         return False
-    tile = told_again if len(a) > 4 * len(q) + 8 else tiles
-    rest, told = tile(a, q, min(3, len(q)))
+    rest, told = tiles(a, q, min(3, len(q)))
     return len(rest) <= 0.2 * len(a) and told >= 0.8 * len(q)
 
 
-# fixed values: the grammar of declining
-_NOT_ABLE = r"(?:can ?not|can't|could not|couldn't|won't|will not|wouldn't|(?:am|'m|are|'re|is|isn't|be) ?(?:unable|not (?:able|allowed|permitted|willing|authori[sz]ed|comfortable|in a position|something|going))|(?:do not|don't|doesn't|does not) (?:feel (?:able|comfortable)|(?:let|allow|permit) (?:me|us))|may not|must not|(?:'d|would|'ll|will) rather not|prefer not)"
-_SPEAK = r"(?:help|assist|answer|respond|reply|comment|discuss|talk|speak|provide|say|tell|share|give|advise|complet|continu|fulfil|offer|disclos|process|support|engage|go into|speculat)\w*"
-_DECLINE = re.compile(
-    "|".join(
-        fold(x)
-        for x in (
-            rf"\b{_NOT_ABLE}\b.{{0,60}}?\b{_SPEAK}",
-            r"\b(?:have|need|must|going|wish|want)(?: to)?(?: respectfully| politely| regretfully)* (?:decline|refuse|pass)\b|\bi (?:respectfully |politely )?(?:decline|refuse)\b",
-            r"\bnot something (?:that )?(?:i|we)(?:'m| am|'re| are| can| may)\b",
-            r"\b(?:outside|beyond|against)\b.{0,20}\b(?:what (?:i|we) (?:may|can|am|are)|my (?:scope|guidelines|remit|role|rules|policy)|the scope)",
-            r"\bno comment\b",
-            r"\bnothing (?:that )?(?:i|we) (?:may|can|could|am|are)\b",
-            r"\bask (?:somebody|someone|anyone|another person)(?: else)?\b",
-            r"\b(?:guidelines|policy|policies|rules|instructions) (?:don't|do not|prevent|forbid|prohibit)",
-            r"\bnot (?:possible|appropriate) for (?:me|us) to\b",
-            r"\b(?:request|question|topic) (?:is|was|has been) (?:declined|refused|blocked|not supported)",
-            # Spanish, French, German, Portuguese
-            r"\bno (?:puedo|podemos|me es posible|estoy autorizad[oa]|estoy en condiciones)\b|\bdebo (?:rechazar|declinar)\b",
-            r"\bne (?:peux|pouvons|suis) pas\b.{0,60}\b(?:répondre|aider|dire|donner|fournir|commenter|mesure|autorisé)|\bdois (?:refuser|décliner)\b|\bimpossible de (?:répondre|vous aider)",
-            r"\b(?:kann|können|darf|dürfen|möchte)\b.{0,80}\bnicht\b.{0,60}\b(?:helfen|antworten|beantworten|sagen|geben|äußern|weiterhelfen|beantwortet)|\bmuss (?:ich )?(?:leider )?ablehnen\b",
-            r"\bnão (?:posso|podemos|consigo|estou autorizad[oa])\b|\bdevo recusar\b",
-            # Chinese, Russian
-            r"(?:无法|不能|不便|没法)(?:回答|提供|帮助|讨论|回应|协助|评论)",
-            r"не (?:могу|можем|вправе)\b",
-        )
-    )
-)
-_POLITE = re.compile(
-    fold(r"(?:(?:i'm|i am|we're|we are|so|very)? ?(?:sorry|apologi[sz]e|apologies|regrettably|unfortunately)\b.{0,20}|i hope (?:you|that|this).*|take care.*|thanks?\b.*|thank you.*|full stop|good luck.*|best wishes.*|"
-    r"(?:please|you (?:should|may|could|can|might want to)|feel free to|do) (?:contact|see|consult|ask|talk to|speak|try|reach|rephrase|turn to|refer|check with|get in touch).*|is there anything else.*|(?:let me know|how else|what else|can i help).*|"
-    r"lo siento.*|disculp.*|désolée?.*|pardon.*|leider.*|es tut mir leid.*|entschuldig.*|desculp.*|lamento.*|抱歉.*|对不起.*|извин.*|к сожалению.*)[.!\s]*")
-)
+# fixed values: the grammar of declining. A capital word in angle brackets is another rule of the same language.
+_GRAMMAR = {
+    "en": {
+        "declines": r"<INABILITY>.{0,60}?<SPEAK>|<INABILITY> (?:go there|do (?:that|this|so))\b|<DUTY> <REFUSE>|\b(?:i|we) (?:respectfully |politely )?(?:decline|refuse|abstain)\b|<NOTHING>|<OUTSIDE>|\bno comment\b|<OTHERS>|<RULES>|\bnot (?:possible|appropriate) for (?:me|us) to\b|<BLOCKED>|\bnot something (?:that )?(?:i|we)(?:'m| am|'re| are| can| may)\b",
+        "INABILITY": r"\b(?:can ?not|can't|could not|couldn't|won't|will not|wouldn't|(?:am|'m|are|'re|is|isn't|be) ?(?:unable|not (?:able|allowed|permitted|willing|authori[sz]ed|comfortable|in a position|something|going))|(?:do not|don't|doesn't|does not) (?:feel (?:able|comfortable)|(?:let|allow|permit) (?:me|us))|may not|must not|(?:'d|would|'ll|will) rather not|prefer not)\b",
+        "SPEAK": r"\b(?:help|assist|answer|respond|reply|comment|discuss|talk|speak|provide|say|tell|share|give|advise|complet|continu|fulfil|offer|disclos|process|support|engage|go into|speculat)\w*",
+        "DUTY": r"\b(?:have|need|must|going|wish|want|prefer|choose)(?: to)?(?: respectfully| politely| regretfully)*",
+        "REFUSE": r"(?:decline|refuse|pass|abstain)\b",
+        "NOTHING": r"\bnothing (?:that )?(?:i|we) (?:may|can|could|am|are)\b",
+        "OUTSIDE": r"\b(?:outside|beyond|against)\b.{0,20}\b(?:what (?:i|we) (?:may|can|am|are)|my (?:scope|guidelines|remit|role|rules|policy)|the scope)",
+        "OTHERS": r"\bask (?:somebody|someone|anyone|another person)(?: else)?\b",
+        "RULES": r"\b(?:guidelines|policy|policies|rules|instructions) (?:don't|do not|prevent|forbid|prohibit)",
+        "BLOCKED": r"\b(?:request|question|topic) (?:is|was|has been) (?:declined|refused|blocked|not supported)",
+        "polite": r"(?:(?:i'm|i am|we're|we are|so|very)? ?(?:sorry|apologi[sz]e|apologies|regrettably|unfortunately)\b.{0,20}|i hope (?:you|that|this).*|take care.*|thanks?\b.*|thank you.*|full stop|good luck.*|best wishes.*|"
+        r"(?:please|you (?:should|may|could|can|might want to)|feel free to|do) (?:contact|see|consult|ask|talk to|speak|try|reach|rephrase|turn to|refer|check with|get in touch).*|is there anything else.*|(?:let me know|how else|what else|can i help).*)",
+    },
+    "es": {"declines": r"\bno (?:puedo|podemos|me es posible|estoy autorizad[oa]|estoy en condiciones)\b|\b(?:debo|tengo que|prefiero) (?:rechazar|declinar|abstenerme)\b", "polite": r"lo siento.*|disculp.*|lamento.*"},
+    "fr": {
+        "declines": r"\bne (?:peux|pouvons|suis) pas\b.{0,60}<SPEAK>|\bdois (?:refuser|décliner|m'abstenir)\b|\bimpossible de (?:répondre|vous aider)",
+        "SPEAK": r"\b(?:répondre|aider|dire|donner|fournir|commenter|mesure|autorisé)",
+        "polite": r"désolée?.*|pardon.*",
+    },
+    "de": {
+        "declines": r"\b(?:kann|können|darf|dürfen|möchte)\b.{0,80}\bnicht\b.{0,60}<SPEAK>|\bmuss (?:ich )?(?:leider )?(?:ablehnen|mich enthalten)\b",
+        "SPEAK": r"\b(?:helfen|antworten|beantworten|sagen|geben|äußern|weiterhelfen|beantwortet)",
+        "polite": r"leider.*|es tut mir leid.*|entschuldig.*",
+    },
+    "pt": {"declines": r"\bnão (?:posso|podemos|consigo|estou autorizad[oa])\b|\bdevo (?:recusar|abster)", "polite": r"desculp.*|lamento.*"},
+    "it": {"declines": r"\bnon (?:posso|possiamo|sono (?:in grado|autorizzat[oa])|mi è possibile)\b.{0,60}\b(?:rispondere|aiutar\w*|dire|dare|fornire|commentare|discutere)|\bdevo (?:rifiutare|declinare|astenermi)\b", "polite": r"mi dispiace.*|scus[ai].*|purtroppo.{0,20}"},
+    "nl": {"declines": r"\b(?:kan|kunnen|mag|mogen|wil)\b.{0,60}\b(?:niet|geen)\b.{0,60}\b(?:helpen|antwoord\w*|beantwoorden|zeggen|geven|bespreken)|\bmoet (?:ik )?(?:helaas )?(?:weigeren|bedanken)\b", "polite": r"het spijt me.*|sorry.{0,20}|helaas.{0,20}"},
+    "zh": {"declines": r"(?:无法|不能|不便|没法|拒绝)(?:回答|提供|帮助|讨论|回应|协助|评论)", "polite": r"抱歉.*|对不起.*"},
+    "ja": {"declines": r"(?:お答え|回答|お手伝い|お話し?|提供|コメント|お応え|説明)(?:することは?|は|が)?(?:でき(?:ません|ない|かねます)|いたしかねます|控え)", "polite": r"申し訳(?:ありません|ございません)?.*|すみません.*|ごめんなさい.*|残念ながら.{0,10}"},
+    "ko": {"declines": r"(?:답변|대답|도움|제공|말씀|논의|답)\S{0,4} ?\S{0,4} ?(?:수 없|못|어렵|드릴 수 없|할 수 없)", "polite": r"죄송.*|미안.*|유감.*"},
+    "ru": {"declines": r"не (?:могу|можем|вправе|буду)\b|вынужден\w* (?:отказать|воздержать)", "polite": r"извин.*|к сожалению.*|простите.*"},
+    "ar": {"declines": r"(?:لا|لن) (?:أستطيع|استطيع|يمكنني|يمكننا|نستطيع|أقدر)|(?:لست|غير) (?:قادر|مخول)|أعتذر عن", "polite": r"(?:آسف|عذر|نأسف|للأسف|أعتذر).*"},
+}
+
+
+def _rule(rules: dict[str, str], name: str) -> str:
+    """A rule with the rules it names put in."""
+    return re.sub(r"<([A-Z]+)>", lambda m: "(?:" + _rule(rules, m.group(1)) + ")", fold(rules[name]))
+
+
+_DECLINE = re.compile("|".join(_rule(r, "declines") for r in _GRAMMAR.values()))
+_POLITE = re.compile("(?:" + "|".join(_rule(r, "polite") for r in _GRAMMAR.values()) + r")[.!。！\s]*")
 
 
 _CONTRAST = re.compile(r"\b(?:but|however|although)\b,?|;")
@@ -187,35 +180,68 @@ def in_other_language(question: str | None, answer: str) -> bool:
     found = language_evidence(answer, names)
     total = sum(found.values())
     other, most = max(found.items(), key=lambda x: (x[1], x[0]), default=("", 0.0))
-    return other != own and most >= 1.5 and found[own] <= 0.15 * total and most >= 0.5 * total
+    if other != own and most >= 1.5:
+        return found[own] <= 0.15 * total and most >= 0.5 * total
+    if found[own] > 0.15 * total:
+        return False
+    # too few words of the lists: the n-grams of all words decide, without names of the question and codes
+    asked_words = set(_LETTERS.findall(fold(question).casefold()))
+    bare = without_quotations(CITATION.sub(" ", fold(answer)))
+    words = list(dict.fromkeys(w.casefold() for w in _LETTERS.findall(bare) if len(w) > 1 and w.casefold() not in asked_words and not w.isupper()))
+    tongue = other_tongue(words, own) if len(words) >= 3 else None
+    return tongue is not None and tongue[1] >= TONGUE
 
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“”", "«": "»", "「": "」", "（": "）", "【": "】"}
 _CLOSE = set("".join(_OPEN.values()))
-_ITEM = re.compile(r"\s*(?:[-*•–—+]|\d{1,3}[.)]|[a-z][.)])(?:\s+|$)")
-_STOPS = set(".!?。！？…؟।|")
+# fixed values: elements whose end must be written; others end with the element around them, or have no end
+_PAIRED = "ul ol dl table b i u em strong code pre blockquote div span a h1 h2 h3 h4 h5 h6 sup sub section details summary".split()
+_TAG = re.compile(r"<(/?)(" + "|".join(_PAIRED) + r")(?:\s+[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>]+))*\s*>", re.I)
+_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+_INLINE = frozenset(('"', "`", "**", "*"))
 
 
-def unfinished(answer: str) -> tuple[str, str] | None:
-    """``("truncated", "")`` if the parser's stack or last word shows a break, ``("words", "prev last")`` if only the
-    words of the last item can tell, None if the answer is complete."""
-    text = fold(answer).rstrip()
+def open_parts(text: str) -> list[str]:
+    """The stack of a pushdown parser at the end of a text: fences, elements, brackets, quotations, emphasis and code
+    that were opened and not closed.
+
+    A fence is closed by one of its own kind and at least its length, and nothing within it counts. An end closes what
+    was opened within its part; one without a beginning is passed over. Inline marks end with their item or paragraph.
+    """
     stack: list[str] = []
-    fence = False
+    fence = ""
     for line in text.split("\n"):
-        if line.lstrip().startswith(("```", "~~~")):
-            fence = not fence
-            continue
+        mark = _FENCE.match(line)
         if fence:
+            if mark and mark.group(1).startswith(fence) and not line[mark.end() :].strip():
+                fence = ""
+            continue
+        if mark:
+            fence = mark.group(1)
             continue
         if _ITEM.match(line) or not line.strip():
-            stack = [s for s in stack if s not in ('"', "`", "**")]  # inline marks end with their item
+            stack = [s for s in stack if s not in _INLINE]
         i = 0
         while i < len(line):
             ch = line[i]
-            if line.startswith("**", i):
-                stack.remove("**") if "**" in stack else stack.append("**")
-                i += 2
+            tag = _TAG.match(line, i) if ch == "<" else None
+            if tag:
+                name = f"<{tag.group(2).lower()}>"
+                if not tag.group(1):
+                    stack.append(name)
+                elif name in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
+                i = tag.end()
+                continue
+            if ch == "*":
+                width = 2 if line.startswith("**", i) else 1
+                before, after = line[i - 1 : i] if i else "", line[i + width : i + width + 1]
+                kind = "*" * width
+                if kind in stack and (width == 2 or not before.isspace()):
+                    del stack[len(stack) - 1 - stack[::-1].index(kind) :]
+                elif width == 2 or after.isalpha() and not before.isalnum() and before not in ("*", ")", "]"):
+                    stack.append(kind)
+                i += width
                 continue
             if ch in ('"', "`"):
                 if ch in stack:
@@ -228,7 +254,18 @@ def unfinished(answer: str) -> tuple[str, str] | None:
             elif ch in _OPEN and not (ch == "(" and line[i - 1 : i] in (":", ";")):
                 stack.append(ch)
             i += 1
-    if fence or stack:
+    return [*stack, fence] if fence else stack
+
+
+_ITEM = re.compile(r"\s*(?:[-*•–—+]|\d{1,3}[.)]|[a-z][.)])(?:\s+|$)")
+_STOPS = set(".!?。！？…؟।|")
+
+
+def unfinished(answer: str) -> tuple[str, str] | None:
+    """``("truncated", "")`` if the parser's stack or last word shows a break, ``("words", "prev last")`` if only the
+    last words of an item can tell, ``("short", "prev last")`` if those of a very short answer, None if it is complete."""
+    text = fold(answer).rstrip()
+    if open_parts(text):
         return "truncated", ""
     last = text.split("\n")[-1]
     item = _ITEM.match(last)
@@ -239,6 +276,8 @@ def unfinished(answer: str) -> tuple[str, str] | None:
     cited = CITATION.search(body) is not None and CITATION.sub("", body[body.rfind("[") :]).strip(" .") == "" and body.rstrip(" .").endswith("]")
     if cited or not end or end[-1] in _STOPS or text[-1] in ")]）】":
         return None
+    if end.endswith(">") and _TAG.search(end):
+        return None
     if re.search(r"(?:https?://|www\.)\S+/\S+$|\S+@\S+\.\w+$", end, re.I):
         return None
     if not end[-1].isalnum() and end[-1] not in "%°":
@@ -250,7 +289,7 @@ def unfinished(answer: str) -> tuple[str, str] | None:
     if item:
         return "words", words
     if len(_TOKEN.findall(text)) <= 3:
-        return None  # a name or a yes, merely short
+        return "short", words
     return "truncated", ""
 
 
@@ -270,17 +309,29 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(_PIECE), F.lit(0))
 
 
+#: Last words that are looked for in the corpus: up to so many are sent to every task, more are joined by a shuffle.
+FEW = 50_000
+
+
 def _word_ends(answers: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``prev, last, n, ends`` of the wanted pairs of words: how often they occur and how often an end follows."""
+    """``prev, last, n, ends`` of the wanted last words: how often they occur and how often an end follows."""
     pieces = answers.select(_pieces(F.col("answer")).alias("p"))
     marks = F.array(*(F.lit(x) for x in (".", "!", "?", "。", "\n", "[")))
     triple = F.transform(
         F.col("p"),
         lambda x, i: F.struct(F.coalesce(F.get("p", i - 1), F.lit("")).alias("prev"), x.alias("last"), F.array_contains(marks, F.get("p", i + 1)).alias("end")),
     )
+    lasts = cut(wanted.select("last").distinct())
     rows = pieces.select(F.inline(F.filter(triple, lambda t: t["last"].rlike(r"^[\p{L}\p{N}]"))))
-    counts = rows.groupBy("prev", "last").agg(F.count("*").alias("n"), F.count_if(F.coalesce("end", F.lit(False))).alias("ends"))
-    return counts.join(wanted.select("last").distinct(), "last", "left_semi")
+    rows = rows.join(F.broadcast(lasts) if lasts.count() <= FEW else lasts, "last", "left_semi")
+    return rows.groupBy("prev", "last").agg(F.count("*").alias("n"), F.count_if(F.coalesce("end", F.lit(False))).alias("ends"))
+
+
+def _beginnings(answers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``last`` of the wanted words of three letters or more that a longer, frequent word of the corpus begins with."""
+    counted = answers.select(F.explode(F.filter(_pieces(F.col("answer")), lambda x: x.rlike(r"^\p{L}{4}"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 5")
+    heads = counted.select(F.explode(F.transform(F.sequence(F.lit(3), F.length("w") - 1), lambda k: F.left(F.col("w"), k))).alias("last")).distinct()
+    return wanted.where(F.length("last") >= 3).select("last").distinct().join(heads, "last", "left_semi")
 
 
 def defects(df: DataFrame, id_col: str, question: str, answer: str) -> DataFrame:
@@ -308,7 +359,10 @@ def defects(df: DataFrame, id_col: str, question: str, answer: str) -> DataFrame
         if found[0] == "truncated":
             return "truncated", None, None
         words = ["", "", *found[1].split()]
-        return "asked" if words[-1] in end_words(q or "") or not words[-1].isalpha() else "words", words[-2], words[-1]
+        known = words[-1] in end_words(q or "") or not words[-1].isalpha()
+        if found[0] == "short" and known:
+            return None, None, None
+        return ("asked" if known else found[0]), words[-2], words[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,11 +371,17 @@ def defects(df: DataFrame, id_col: str, question: str, answer: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(kind)], schema=kind)
 
     judged = cut(rows.mapInArrow(run, "id bigint, defect_type string, prev string, last string"))
-    open_ = judged.where("defect_type in ('words', 'asked')").select("id", "prev", "last", (F.col("defect_type") == "asked").alias("asked"))
-    ends = cut(_word_ends(rows.where("answer is not null"), open_))
+    undecided = ("words", "asked", "short")
+    open_ = judged.where(F.col("defect_type").isin(*undecided)).select("id", "prev", "last", F.col("defect_type").alias("kind"))
+    answers = rows.where("answer is not null")
+    ends = cut(_word_ends(answers, open_))
     one = ends.groupBy("last").agg(F.sum("n").alias("n1"), F.sum("ends").alias("ends1"))
-    decided = open_.join(ends, ["prev", "last"], "left").join(one, "last", "left")
+    begun = _beginnings(answers, open_.where("kind = 'short'").join(one.where("n1 >= 5"), "last", "left_anti"))
+    decided = open_.join(ends, ["prev", "last"], "left").join(one, "last", "left").join(begun.withColumn("begun", F.lit(True)), "last", "left")
     rate = F.when(F.col("n") >= 5, F.col("ends") / F.col("n")).when(F.col("n1") >= 5, F.col("ends1") / F.col("n1"))
     # a word that the corpus does not know breaks off, unless it is a number or code or was in the question
-    broken = F.coalesce(rate < 0.01, ~F.col("asked"))
-    return judged.where("defect_type not in ('words', 'asked')").select("id", "defect_type").unionAll(decided.where(broken).select("id", F.lit("truncated").alias("defect_type")))
+    item = F.coalesce(rate < 0.01, F.col("kind") == "words")
+    # an answer of a few words may be a name: it breaks off where a known word goes on, or on a word that never ends one
+    never = (F.col("prev") != "") & (F.col("n1") >= 100) & (F.col("ends1") < 0.01 * F.col("n1"))
+    broken = F.when(F.col("kind") == "short", F.coalesce(never, F.lit(False)) | F.coalesce("begun", F.lit(False))).otherwise(item)
+    return judged.where(~F.col("defect_type").isin(*undecided)).select("id", "defect_type").unionAll(decided.where(broken).select("id", F.lit("truncated").alias("defect_type")))
