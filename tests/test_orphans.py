@@ -53,3 +53,21 @@ def test_report_and_clashing_columns(spark):
     p = spark.createDataFrame([("B", "x")], "k string, ks string")
     out = orphan_references(r, "id", "k", parents(p, "k", None))
     assert [tuple(x) for x in orphan_report(out).collect()] == [(None, "missing", 1)]
+
+
+def test_large_ids_beside_null_ones(spark):
+    refs = [(9007199254740993, "A", 1), (None, "A", 1), (9223372036854775807, "B", 1), (4, "C", 1)]
+    r, p, d = frames(spark, refs, [("C", 0)], [])
+    got = [(x.ref_id, x.period) for x in orphan_references(r, "id", "k", parents(p, "k", "seen", d), at="t", period=F.col("period")).collect()]
+    assert sorted(got, key=str) == sorted([(9007199254740993, "v1"), (None, "v1"), (9223372036854775807, "v1")], key=str)
+
+
+def test_ranges_in_two_steps_and_sub_ranges(spark, monkeypatch):
+    from weftgraph.operators import orphans
+
+    par = [(f"K{i:04d}", 0) for i in range(0, 1200, 2)]
+    refs = [(i, f"K{i:04d}", 5) for i in range(1200)] + [(2000 + i, "K0001", 5) for i in range(500)]
+    want = [i for i in range(1, 1200, 2)] + [2000 + i for i in range(500)]
+    for ranges in (4096, 3):  # 300 bounds in two steps, and three ranges cut by a hash of the key
+        monkeypatch.setattr(orphans, "RANGES", ranges)
+        assert [i for i, _ in found(spark, refs, par, range_keys=2, cell_rows=40)] == want
