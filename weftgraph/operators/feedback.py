@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,14 +95,22 @@ def admit(times: list[float], window: float = 60.0, most: int = PER_MINUTE, held
 def rate_limited(events: DataFrame, key: str, time: str, order: str, window: float = 60.0, most: int = PER_MINUTE) -> DataFrame:
     """Batch form: adds ``accepted`` to the columns ``key, time, order``, by key in the order of time.
 
-    Each key is a limiter of its own, held in one task in time order, as acceptance depends on every earlier call.
+    Each key is a limiter of its own, as acceptance depends on every earlier call. Rows are sorted within partitions and
+    streamed, so a task holds a batch and the accepted times of the last window, however many calls a key has. A null
+    key is one limiter; a null time comes first and is never accepted.
     """
     kind = {f.name: f.dataType.simpleString() for f in events.schema}
-    schema = f"{key} {kind[key]}, {time} {kind[time]}, {order} {kind[order]}, accepted boolean"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, order], kind="stable")
-        seconds = pdf[time].astype("int64").to_numpy() / (1e9 if str(pdf[time].dtype).startswith("datetime64[ns") else 1e6)
-        return pdf.assign(accepted=admit(list(seconds), window, most))
-
-    return events.select(key, time, order).groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = object(), deque()
+        for batch in batches:
+            keys, micros, out = batch.column(0).to_pylist(), batch.column(3).to_pylist(), []
+            for k, t in zip(keys, micros):
+                if k != current:
+                    current, held = k, deque()
+                out.append(t is not None and admit([t / 1e6], window, most, held)[0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.bool_())], names=[key, time, order, "accepted"])
+
+    rows = events.select(key, time, order, F.unix_micros(F.col(time).cast("timestamp")).alias("__micros"))
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "__micros", order)
+    return rows.mapInArrow(run, f"{key} {kind[key]}, {time} {kind[time]}, {order} {kind[order]}, accepted boolean")

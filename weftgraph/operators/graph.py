@@ -61,12 +61,18 @@ class Layer:
 CLUSTER = Layer("cluster_expansion", "EDGE:CLX-", "EVIDENCE:CLX-")
 
 
+#: Values of properties stay JSON of any depth: a variant each, never text within text.
+_MAP = "map<string,variant>"
+
+
 def _props(text: Column) -> Column:
-    return F.coalesce(F.from_json(F.nullif(text, F.lit("")), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.coalesce(F.from_json(F.nullif(text, F.lit("")), _MAP), F.create_map().cast(_MAP))
 
 
 def _dump(props: Column) -> Column:
-    return F.when(F.size(props) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(props))))).otherwise("")
+    """JSON with its keys in order; values as they are."""
+    entries = F.array_sort(F.map_keys(props))
+    return F.when(F.size(props) > 0, F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.to_json(props[k]))), ","), F.lit("}"))).otherwise("")
 
 
 def replace_layer(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, layer: Layer = CLUSTER) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -74,7 +80,8 @@ def replace_layer(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_
 
     Applying it to its own result changes nothing. Nodes of other layers keep their place: keys of ``fill`` are set
     where absent, those of ``refresh`` always. A new edge that repeats a retained (source, type, target) is left out;
-    links of the downstream layer lose those whose end is gone. Each side is joined once, on its id.
+    links of the downstream layer lose those whose end is gone. Each side is joined once, on its id. Values of properties
+    may be nested and keep their form.
     """
     kept = nodes.where((F.col("status") != layer.status) & ~F.startswith(F.col("node_id"), F.lit(layer.evidence_prefix)))
     fresh = new_nodes.select(*(F.col(c).alias(f"n_{c}") for c in NODE_COLUMNS))

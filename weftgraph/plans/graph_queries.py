@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +16,14 @@ def _s(c: str):
 
 
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph before a run: regions, nations, some suppliers of an older run and links of another layer."""
-    return _graph(spark, sf_dir, table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0"))
-
-
-def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph of all suppliers."""
+    """The graph before a run: regions, nations, all suppliers as an older run left them and links of another layer."""
     return _graph(spark, sf_dir, table(spark, sf_dir, "supplier"))
 
 
 def _graph(spark: SparkSession, sf_dir: str, old: DataFrame) -> tuple[DataFrame, DataFrame]:
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     nodes = (
-        graph.as_nodes(r.select(F.concat(F.lit("REGION:"), _s("r_regionkey")).alias("node_id"), F.lit("Region").alias("node_type"), F.col("r_name").alias("label"), F.lit("seed").alias("status"), F.lit('{"cluster":"C9","family":"x"}').alias("properties_json")))
+        graph.as_nodes(r.select(F.concat(F.lit("REGION:"), _s("r_regionkey")).alias("node_id"), F.lit("Region").alias("node_type"), F.col("r_name").alias("label"), F.lit("seed").alias("status"), F.lit('{"cluster":{"combined":"C9","n":1},"family":"x","synonyms":["a","b"]}').alias("properties_json")))
         .unionAll(graph.as_nodes(n.select(F.concat(F.lit("NATION:"), _s("n_nationkey")).alias("node_id"), F.lit("Nation").alias("node_type"), F.col("n_name").alias("label"), F.lit("seed").alias("status"))))
         .unionAll(graph.as_nodes(old.select(F.concat(F.lit("SUPPLIER:"), _s("s_suppkey")).alias("node_id"), F.lit("Supplier").alias("node_type"), F.col("s_name").alias("label"), F.lit("cluster_expansion").alias("status"))))
     )
@@ -45,7 +38,7 @@ def _graph(spark: SparkSession, sf_dir: str, old: DataFrame) -> tuple[DataFrame,
 def _layer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The new layer: nations again, with more properties, and suppliers of positive balance."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier").where("s_acctbal > 0")
-    props = F.to_json(F.create_map(F.lit("cluster"), F.concat(F.lit("C"), _s("n_nationkey")), F.lit("family"), F.concat(F.lit("R"), _s("n_regionkey")), F.lit("other"), F.lit("z")))
+    props = F.to_json(F.struct(F.struct(F.concat(F.lit("C"), _s("n_nationkey")).alias("combined"), F.col("n_nationkey").alias("n")).alias("cluster"), F.concat(F.lit("R"), _s("n_regionkey")).alias("family"), F.lit("z").alias("other"), F.array("n_name").alias("synonyms")))
     nodes = graph.as_nodes(n.select(F.concat(F.lit("NATION:"), _s("n_nationkey")).alias("node_id"), F.lit("Nation").alias("node_type"), F.col("n_name").alias("label"), F.concat(F.lit("X"), _s("n_nationkey")).alias("external_id"), F.lit("cluster_expansion").alias("status"), props.alias("properties_json")))
     nodes = nodes.unionAll(graph.as_nodes(s.select(F.concat(F.lit("SUPPLIER:"), _s("s_suppkey")).alias("node_id"), F.lit("Supplier").alias("node_type"), F.col("s_name").alias("label"), F.lit("cluster_expansion").alias("status"))))
     edges = graph.as_edges(s.select(F.concat(F.lit("EDGE:CLX-"), _s("s_suppkey")).alias("edge_id"), F.concat(F.lit("SUPPLIER:"), _s("s_suppkey")).alias("source_id"), F.lit("LOCATED_IN").alias("edge_type"), F.concat(F.lit("NATION:"), _s("s_nationkey")).alias("target_id")))
@@ -58,12 +51,12 @@ def _synced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def graph_nodes(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
-    return base(spark, sf_dir)[0].select("node_id", "node_type", "label", "status", "properties_json")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _base(spark, sf_dir)[0].select("node_id", "node_type", "label", "status", "properties_json")
 
 
-def graph_edges(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
-    return base(spark, sf_dir)[1].select("edge_id", "source_id", "edge_type", "target_id")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _base(spark, sf_dir)[1].select("edge_id", "source_id", "edge_type", "target_id")
 
 
 def layer_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,21 +77,21 @@ def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.violations(nodes, edges)
 
 
-def graph_version(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
-    nodes, edges = base(spark, sf_dir)
-    return graph.fingerprint(nodes.select("node_id", "label"), edges.select("edge_id", "source_id", "target_id"))
+def graph_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _base(spark, sf_dir)
+    return graph.fingerprint(nodes, edges)
 
 
-def multi_hop_path(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
+def multi_hop_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions that two suppliers' nations lead to, through the graph."""
-    nodes, edges = base(spark, sf_dir)
+    nodes, edges = _base(spark, sf_dir)
     start = nodes.where("node_type = 'Supplier'").select("node_id")
     p = graph.follow(edges, start, [("LOCATED_IN", "out"), ("PART_OF", "out"), ("PART_OF", "in")])
     return p.groupBy(F.col("n0").alias("supplier"), F.col("n2").alias("region")).agg(F.count("*").alias("nations"))
 
 
-def neighbourhood(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
-    nodes, edges = base(spark, sf_dir)
+def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _base(spark, sf_dir)
     return graph.neighbours(edges, nodes.where("node_type = 'Nation'"))
 
 
@@ -108,8 +101,8 @@ def edge_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy(F.col("node_type").alias("kind")).count().unionAll(edges.groupBy(F.col("edge_type").alias("kind")).count()).toDF("kind", "n")
 
 
-def search_index(spark: SparkSession, sf_dir: str, base=_base) -> DataFrame:
-    terms = graph.search_terms(base(spark, sf_dir)[0])
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = graph.search_terms(_base(spark, sf_dir)[0])
     return terms.select("node_id", F.array_join("terms", "|").alias("terms"))
 
 
@@ -120,7 +113,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = spark.createDataFrame(QUESTIONS, "query_id bigint, text string")
     top = retrieval.bm25(docs, q, k=10)
-    return top.select("query_id", "rank", F.round("score", 6).alias("score"))
+    return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,28 +217,27 @@ QUERIES = {
         claim_scores, citation_filter, answer_scores, forbidden_phrases, json_props, regex_cleanup, feedback_queue, rate_limited_events, windowed_events,
     )
 }
-# the same operators over the graph of all suppliers, each with SQL of its own
-WHOLE = (graph_nodes, graph_edges, graph_version, multi_hop_path, neighbourhood, search_index)
-QUERIES |= {f"{f.__name__}_whole": partial(f, base=_whole) for f in WHOLE}
 _G = """WITH n0 AS (
-  SELECT 'REGION:' || r_regionkey AS node_id, 'Region' AS node_type, r_name AS label, '' AS external_id, 'seed' AS status, '{"cluster":"C9","family":"x"}' AS properties_json FROM region
+  SELECT 'REGION:' || r_regionkey AS node_id, 'Region' AS node_type, r_name AS label, '' AS external_id, 'seed' AS status, '{"cluster":{"combined":"C9","n":1},"family":"x","synonyms":["a","b"]}' AS properties_json FROM region
   UNION ALL SELECT 'NATION:' || n_nationkey, 'Nation', n_name, '', 'seed', '' FROM nation
-  UNION ALL SELECT 'SUPPLIER:' || s_suppkey, 'Supplier', s_name, '', 'cluster_expansion', '' FROM supplier WHERE s_suppkey % 5 = 0),
+  UNION ALL SELECT 'SUPPLIER:' || s_suppkey, 'Supplier', s_name, '', 'cluster_expansion', '' FROM supplier),
 e0 AS (SELECT 'EDGE:SEED-' || n_nationkey AS edge_id, 'NATION:' || n_nationkey AS source_id, 'PART_OF' AS edge_type, 'REGION:' || n_regionkey AS target_id FROM nation
-  UNION ALL SELECT 'EDGE:CLX-old-' || s_suppkey, 'SUPPLIER:' || s_suppkey, 'LOCATED_IN', 'NATION:' || s_nationkey FROM supplier WHERE s_suppkey % 5 = 0
-  UNION ALL SELECT 'EDGE:CUR-' || s_suppkey, 'SUPPLIER:' || s_suppkey, 'SUPPORTS', 'NATION:' || s_nationkey FROM supplier WHERE s_suppkey % 5 = 0),
-n1 AS (SELECT 'REGION:' || r_regionkey AS node_id, 'Region' AS node_type, r_name AS label, '' AS external_id, 'seed' AS status, '{"family":"x"}' AS properties_json FROM region
-  UNION ALL SELECT 'NATION:' || n_nationkey, 'Nation', n_name, 'X' || n_nationkey, 'seed', '{"cluster":"C' || n_nationkey || '","family":"R' || n_regionkey || '"}' FROM nation
+  UNION ALL SELECT 'EDGE:CLX-old-' || s_suppkey, 'SUPPLIER:' || s_suppkey, 'LOCATED_IN', 'NATION:' || s_nationkey FROM supplier
+  UNION ALL SELECT 'EDGE:CUR-' || s_suppkey, 'SUPPLIER:' || s_suppkey, 'SUPPORTS', 'NATION:' || s_nationkey FROM supplier),
+n1 AS (SELECT 'REGION:' || r_regionkey AS node_id, 'Region' AS node_type, r_name AS label, '' AS external_id, 'seed' AS status, '{"family":"x","synonyms":["a","b"]}' AS properties_json FROM region
+  UNION ALL SELECT 'NATION:' || n_nationkey, 'Nation', n_name, 'X' || n_nationkey, 'seed', '{"cluster":{"combined":"C' || n_nationkey || '","n":' || n_nationkey || '},"family":"R' || n_regionkey || '","synonyms":["' || n_name || '"]}' FROM nation
   UNION ALL SELECT 'SUPPLIER:' || s_suppkey, 'Supplier', s_name, '', 'cluster_expansion', '' FROM supplier WHERE s_acctbal > 0),
 e1 AS (SELECT * FROM e0 WHERE edge_id LIKE 'EDGE:SEED-%' UNION ALL SELECT * FROM e0 WHERE edge_id LIKE 'EDGE:CUR-%' AND source_id IN (SELECT node_id FROM n1)
   UNION ALL SELECT 'EDGE:CLX-' || s_suppkey, 'SUPPLIER:' || s_suppkey, 'LOCATED_IN', 'NATION:' || s_nationkey FROM supplier WHERE s_acctbal > 0)"""
 _TOK = r"regexp_extract_all(lower(text), '[A-Za-z0-9_:.+\-]+')"
 _Q = ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS)
-_ABSTAIN = (
-    r"\b(this page (cannot|can''t|can not|does not|doesn''t|has no|is not able)|(facts|records|data|information)( here| provided| available| i have)? (do not|don''t|doesn''t|does not) (give|include|say|show|contain|cover|tell|list)"
-    r"|(i|we) (do not|don''t) have (any )?(data|information|a number|numbers|figures|details)|(cannot|can''t|can not) (say|tell|know|decide|answer|recommend)|(no|not any) (sourced )?(information|record|data) (on|about|for)"
-    r"|not (recorded|in this page|something this page)|(doesn''t|does not) (have|record|include)|(ask|check with|talk to) (your|the) (doctor|care team|study team|clinician|specialist))"
-)
+_ANY = {k: "(?:" + "|".join(v) + ")" for k, v in retrieval.LACKING.items()}
+_ABSTAIN = [
+    rf"\b{_ANY['subject']}\b[^.!?]{{0,40}}?\b{_ANY['lacks']}\b",
+    rf"\b(?:{_ANY['own']}|{_ANY['absent']})\b",
+    rf"\b{_ANY['refer']} {_ANY['whom']}\b",
+]
+_ABSTAINS = " OR ".join("regexp_matches(lower(translate(answer, '’‘', '''''')), '" + p.replace("'", "''") + "')" for p in _ABSTAIN)
 ORACLE = {
     "graph_nodes": f"{_G} SELECT node_id, node_type, label, status, properties_json FROM n0",
     "graph_edges": f"{_G} SELECT * FROM e0",
@@ -258,7 +250,7 @@ ORACLE = {
       UNION ALL SELECT 3, 'missing_endpoint', edge_id, x FROM (SELECT edge_id, unnest([s, t]) AS x FROM e) WHERE x NOT IN (SELECT node_id FROM n)
       UNION ALL SELECT 4, 'invalid_relation', edge_id, k FROM e WHERE k = 'bad kind'
       UNION ALL SELECT 5, 'missing_evidence', edge_id, ev FROM e WHERE ev <> '' AND ev NOT IN (SELECT substr(node_id, 10) FROM n WHERE t = 'Evidence')""",
-    "graph_version": f"""{_G}, r AS (SELECT 'n' AS t, 'label=' || label || chr(31) || 'node_id=' || node_id AS x FROM n0 UNION ALL SELECT 'e', 'edge_id=' || edge_id || chr(31) || 'source_id=' || source_id || chr(31) || 'target_id=' || target_id FROM e0),
+    "graph_version": f"""{_G}, r AS (SELECT 'n' AS t, 'external_id=' || external_id || chr(31) || 'label=' || label || chr(31) || 'node_id=' || node_id || chr(31) || 'node_type=' || node_type || chr(31) || 'properties_json=' || properties_json || chr(31) || 'source_url=' || chr(31) || 'status=' || status AS x FROM n0 UNION ALL SELECT 'e', 'assertion_level=' || chr(31) || 'confidence=' || chr(31) || 'edge_id=' || edge_id || chr(31) || 'edge_type=' || edge_type || chr(31) || 'evidence_id=' || chr(31) || 'limitations=' || chr(31) || 'notes=' || chr(31) || 'properties_json=' || chr(31) || 'source_id=' || source_id || chr(31) || 'source_url=' || chr(31) || 'target_id=' || target_id FROM e0),
       h AS (SELECT sha256(t || chr(30) || x) AS h FROM r)
       SELECT 'g' || left(sha256(count(*) || '|' || {" || '|' || ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(4))}), 10) AS graph_version FROM h""",
     "multi_hop_path": f"{_G} SELECT a.source_id AS supplier, b.target_id AS region, count(*) AS nations FROM e0 a JOIN e0 b ON a.target_id = b.source_id AND b.edge_type = 'PART_OF' JOIN e0 c ON c.target_id = b.target_id AND c.edge_type = 'PART_OF' WHERE a.edge_type = 'LOCATED_IN' GROUP BY 1, 2",
@@ -270,7 +262,7 @@ ORACLE = {
       q AS (SELECT query_id, unnest({_TOK}) AS token FROM (VALUES {_Q}) x(query_id, text)), w AS (SELECT query_id, token, count(*) * CASE WHEN any_value(idf) < 0 THEN any_value(f) ELSE any_value(idf) END AS w FROM q JOIN idf USING (token), f GROUP BY 1, 2),
       tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM d) GROUP BY 1, 2, 3),
       sc AS (SELECT query_id, doc_id, sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM tf JOIN w USING (token), s GROUP BY 1, 2)
-      SELECT CAST(query_id AS BIGINT) AS query_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM sc) WHERE rank <= 10""",
+      SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM sc) WHERE rank <= 10""",
     "token_counts": f"SELECT doc_id, CAST(coalesce(len({_TOK}), 0) AS BIGINT) AS tokens FROM documents",
     "content_hash": "SELECT doc_id, left(sha256(text), 16) AS hash FROM documents",
     "row_documents": "SELECT row_id, concat_ws(chr(10), 'nct_id: ' || nullif(nct_id, ''), 'brief_title: ' || nullif(brief_title, ''), 'phases: ' || nullif(phases, ''), 'lead_sponsor: ' || nullif(lead_sponsor, '')) AS text FROM (SELECT DISTINCT row_id, nct_id, brief_title, phases, lead_sponsor FROM studies)",
@@ -282,7 +274,7 @@ ORACLE = {
       SELECT claim_id, CAST(score AS DOUBLE) AS confidence_score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN found THEN
         CASE source_tier WHEN '1' THEN 'tier_1_official_source' WHEN '2' THEN 'tier_2_specialist_source' ELSE 'internal_or_unranked_source' END || CASE WHEN rec THEN '|structured_source_record' ELSE '' END || CASE WHEN hit THEN '|exact_source_span_match' ELSE '|source_span_not_verified' END ||
         CASE WHEN named THEN '|endpoint_appears_in_source' ELSE '' END || CASE k WHEN 'has_gene' THEN '|direct_record_relationship' WHEN 'similar_to' THEN '|relationship_cap_similar_to' ELSE '|unclassified_relationship_cap' END ELSE 'evidence_id_not_in_retrieved_context' END AS basis FROM s""",
-    "answer_scores": f"""SELECT record_id, coalesce(regexp_matches(translate(answer, '’‘', ''''''), '{_ABSTAIN}', 'i'), false) AS abstains, coalesce(contains(lower(answer), 'care team') OR contains(lower(answer), 'doctor'), false) AS defers FROM (SELECT DISTINCT record_id, answer FROM chat_eval_cases)""",
+    "answer_scores": f"""SELECT record_id, coalesce({_ABSTAINS}, false) AS abstains, coalesce(contains(lower(answer), 'care team') OR contains(lower(answer), 'doctor'), false) AS defers FROM (SELECT DISTINCT record_id, answer FROM chat_eval_cases)""",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY 1",
     "regex_cleanup": r"""SELECT DISTINCT row_id, regexp_replace(replace(string_split(source_url, '/')[-1], 'NCT', 'NCT_'), '^([^_]*)_', '\1:') AS curie, regexp_extract(source_url, '([0-9]+)$', 1) AS number, trim(regexp_replace(lower(brief_title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM studies""",
     "feedback_queue": f"""WITH f AS (SELECT 'U' || user_id AS target_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CATEGORY.items())} END AS c, strftime(ts, '%Y-%m-%dT%H:%MZ') AS seen FROM events),
@@ -293,5 +285,3 @@ ORACLE = {
       SELECT target_id, n_useful, problems, later, last_seen, status, status IN ('new', 'reviewing', 'confirmed_issue') OR later > 0 AS open FROM h""",
     "windowed_events": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
-_W = _G.replace(" WHERE s_suppkey % 5 = 0", "")
-ORACLE |= {f"{f.__name__}_whole": ORACLE[f.__name__].replace(_G, _W) for f in WHOLE}

@@ -49,7 +49,9 @@ def branch_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def most_specific_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most specific common terms of each pair of nations, as text."""
     _, closed, prop = _annotated(spark, sf_dir)
-    shared = similarity.common_features(prop.select("entity", F.col("term").alias("feature"))).withColumnRenamed("feature", "term")
+    # a term that every entity has tells nothing: it would form all pairs
+    ic = ontology.information_content(prop).where("ic > 0").select("term")
+    shared = similarity.common_features(prop.join(ic, "term", "left_semi").select("entity", F.col("term").alias("feature"))).withColumnRenamed("feature", "term")
     leaves = ontology.most_specific(cut(shared), closed, ["a", "b"])
     return leaves.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("term")), ";").alias("terms"))
 
@@ -183,7 +185,7 @@ QUERIES = {
     )
 }
 _S = "WITH " + analogue.SQL
-_SHARES = "(phen > 0 OR overlap > 0 OR gene OR series OR cls)"
+_SHARES = "(phen > 0 OR overlap > 0 OR gene OR series)"
 ORACLE = {
     "relation_classes": f"""{_S} SELECT a, b, scope, round(phen, 6) AS phen, round(overlap, 6) AS overlap, gene AS shares_gene, round(CAST(mechanism AS DOUBLE), 6) AS mechanism, round(pct, 6) AS pct, relation, round(combined, 6) AS combined,
       round(CAST(CASE WHEN mech_w >= 0.25 THEN mech_w END AS DOUBLE), 6) AS edge_mechanism, round(CASE WHEN high THEN phen END, 6) AS edge_phenotype,
@@ -193,7 +195,7 @@ ORACLE = {
     "proper_ancestors": f"{_S} SELECT node, count(*) AS ancestors FROM clo WHERE node <> ancestor GROUP BY 1",
     "information_content": f"{_S} SELECT term, n, round(ic, 6) AS ic FROM ic",
     "branch_exclusion": f"{_S} SELECT entity, count_if(x.node IS NULL) AS kept, count_if(x.node IS NOT NULL) AS dropped FROM li LEFT JOIN (SELECT node FROM clo WHERE ancestor = 'B:Brand#13') x ON x.node = 'P' || l_partkey GROUP BY 1",
-    "most_specific_shared": f"""{_S}, sh AS (SELECT x.entity AS a, y.entity AS b, x.term FROM prop x JOIN prop y ON x.term = y.term AND x.entity < y.entity),
+    "most_specific_shared": f"""{_S}, sh AS (SELECT x.entity AS a, y.entity AS b, x.term FROM prop x JOIN prop y ON x.term = y.term AND x.entity < y.entity WHERE x.term IN (SELECT term FROM ic WHERE ic > 0)),
       cov AS (SELECT DISTINCT a, b, ancestor AS term FROM sh JOIN clo ON node = term WHERE node <> ancestor)
       SELECT a, b, string_agg(term, ';' ORDER BY term) AS terms FROM sh ANTI JOIN cov USING (a, b, term) GROUP BY 1, 2""",
     "alias_resolution": "SELECT c_custkey, CAST(CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0) THEN c_nationkey + 1 ELSE c_nationkey END AS BIGINT) AS nation FROM customer",
