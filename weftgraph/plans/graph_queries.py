@@ -256,7 +256,7 @@ ORACLE = {
     "multi_hop_path": f"{_G} SELECT a.source_id AS supplier, b.target_id AS region, count(*) AS nations FROM e0 a JOIN e0 b ON a.target_id = b.source_id AND b.edge_type = 'PART_OF' JOIN e0 c ON c.target_id = b.target_id AND c.edge_type = 'PART_OF' WHERE a.edge_type = 'LOCATED_IN' GROUP BY 1, 2",
     "neighbourhood": f"{_G} SELECT source_id AS node_id, edge_type, target_id AS neighbour, 'out' AS direction FROM e0 WHERE source_id LIKE 'NATION:%' UNION ALL SELECT target_id, edge_type, source_id, 'in' FROM e0 WHERE target_id LIKE 'NATION:%'",
     "edge_kinds": f"{_G} SELECT node_type AS kind, count(*) AS n FROM n1 GROUP BY 1 UNION ALL SELECT edge_type, count(*) FROM e1 GROUP BY 1",
-    "search_index": f"{_G} SELECT node_id, CASE WHEN label < node_id THEN label || '|' || node_id ELSE node_id || '|' || label END AS terms FROM n0",
+    "search_index": f"{_G} SELECT node_id, CASE WHEN label < node_id THEN label || '|' || node_id ELSE node_id || '|' || label END || CASE WHEN node_id LIKE 'REGION:%' THEN '|a|b' ELSE '' END AS terms FROM n0",
     "bm25_topk": f"""WITH d AS (SELECT doc_id, {_TOK} AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
       df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS token FROM d) GROUP BY 1), idf AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, s), f AS (SELECT 0.25 * avg(idf) AS f FROM idf),
       q AS (SELECT query_id, unnest({_TOK}) AS token FROM (VALUES {_Q}) x(query_id, text)), w AS (SELECT query_id, token, count(*) * CASE WHEN any_value(idf) < 0 THEN any_value(f) ELSE any_value(idf) END AS w FROM q JOIN idf USING (token), f GROUP BY 1, 2),

@@ -56,6 +56,23 @@ def most_specific_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("term")), ";").alias("terms"))
 
 
+def first_leaves(spark: SparkSession, sf_dir: str, least: float = 2.0, most: int = 6) -> DataFrame:
+    """``a, b, terms``: the first most specific common terms by information content, then name."""
+    _, closed, prop = _annotated(spark, sf_dir)
+    ic = cut(ontology.information_content(prop))
+    shared = similarity.common_features(prop.join(ic.where("ic > 0").select("term"), "term", "left_semi").select("entity", F.col("term").alias("feature"))).withColumnRenamed("feature", "term")
+    leaves = ontology.most_specific(cut(shared), closed, ["a", "b"]).join(ic.select("term", "ic"), "term").where(F.col("ic") >= least)
+    return similarity.shared_lists(leaves, "term", "ic", most).withColumnRenamed("list", "terms")
+
+
+def shared_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``a, b, pathways``: common pathways by their weight in the pair's scope, then name."""
+    li, scopes = cut(analogue.lines(spark, sf_dir)), analogue.scopes(spark, sf_dir)
+    features = analogue.genes(li).join(analogue.pathways(li), "gene").select("entity", F.col("pathway").alias("feature")).distinct()
+    rows = similarity.in_scope(similarity.common_features(features), scopes, CROSS).join(_weights(li, scopes).select("scope", "feature", "weight"), ["scope", "feature"])
+    return similarity.shared_lists(rows, "feature", "weight").withColumnRenamed("list", "pathways")
+
+
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their nation's key replaced where an alias table says so."""
     aliases = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").cast("bigint").alias("alias"), (F.col("n_nationkey") + 1).cast("bigint").alias("current"))
