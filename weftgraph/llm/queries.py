@@ -50,6 +50,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.record_pairs(pairs, membership).where(F.substring("key_a", 3, 10_000) != F.substring("key_b", 3, 10_000))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of four genes or more with its class of equal sets and its number of similar records."""
+    pairs, membership = setjoin.similar_records(_gene_sets(spark, sf_dir), 0.6, least=4)
+    return setjoin.record_links(pairs, membership)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -93,17 +99,23 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_scored(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
-ORACLE = {
-    "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p4_found": """
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p4_found": p4_found, "p4_classes": p4_classes, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+_SETS = """
     WITH m AS (
       SELECT 'c:' || replace(upper(trim(disease_id, E' \\t\\n\\r')), '_', ':') AS key, unnest(string_split(genes, ';')) AS item FROM disease_clusters WHERE genes IS NOT NULL
       UNION ALL
       SELECT 'g:' || nullif(nullif(replace(upper(trim(disease_id, E' \\t\\n\\r')), '_', ':'), ''), '-'), gene_symbol FROM cluster_disease_genes),
     s AS (SELECT DISTINCT key, replace(upper(trim(item, E' \\t\\n\\r')), '_', ':') AS item FROM m WHERE key IS NOT NULL AND trim(item, E' \\t\\n\\r') NOT IN ('', '-')),
     n AS (SELECT key, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 4),
-    b AS (SELECT a.key AS key_a, c.key AS key_b, count(*) AS shared FROM s a JOIN s c ON a.item = c.item AND a.key < c.key GROUP BY 1, 2)
+    b AS (SELECT a.key AS key_a, c.key AS key_b, count(*) AS shared FROM s a JOIN s c ON a.item = c.item AND a.key < c.key GROUP BY 1, 2)"""
+ORACLE = {
+    "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p4_found": f"""{_SETS}
     SELECT key_a, key_b FROM b JOIN n x ON x.key = key_a JOIN n y ON y.key = key_b
-    WHERE shared >= 0.6 * (x.n + y.n - shared) AND substr(key_a, 3) <> substr(key_b, 3)"""
+    WHERE shared >= 0.6 * (x.n + y.n - shared) AND substr(key_a, 3) <> substr(key_b, 3)""",
+    "p4_classes": f"""{_SETS},
+    w AS (SELECT key, string_agg(item, ';' ORDER BY item) AS items FROM s GROUP BY 1),
+    p AS (SELECT key_a, key_b FROM b JOIN n x ON x.key = key_a JOIN n y ON y.key = key_b WHERE shared >= 0.6 * (x.n + y.n - shared)),
+    k AS (SELECT key, count(*) AS links FROM (SELECT key_a AS key FROM p UNION ALL SELECT key_b FROM p) GROUP BY 1)
+    SELECT key, min(key) OVER (PARTITION BY items) AS class, coalesce(links, 0) AS links FROM n JOIN w USING (key) LEFT JOIN k USING (key)""",
 }

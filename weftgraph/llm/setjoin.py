@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.blocks import pairs_within
 from weftgraph.session import cut
 
 BITS = 512
@@ -157,9 +158,21 @@ def similar_records(members: DataFrame, threshold: float, least: int = 1, recall
 
 
 def record_pairs(pairs: DataFrame, membership: DataFrame) -> DataFrame:
-    """``key_a, key_b`` (key_a < key_b): pairs of sets written out as pairs of records, equal sets included."""
+    """``key_a, key_b`` (key_a < key_b): pairs of sets written out as pairs of records, equal sets included; those of one set
+    are formed in cells of two blocks. :func:`record_links` says the same in one row a record."""
     membership = cut(membership)
     a, b = membership.toDF("key_a", "a"), membership.toDF("key_b", "b")
     between = pairs.select("a", "b").join(a, "a").join(b, "b").select("key_a", "key_b")
-    within = a.join(b, F.col("a") == F.col("b")).where("key_a < key_b").select("key_a", "key_b")
+    within = pairs_within(membership.select("sid", "key"), ["sid"], "key").select("key_a", "key_b")
     return between.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).unionAll(within)
+
+
+def record_links(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """``key, class, links``: each record with its class, the least key with the same set, and the number of records
+    whose set is similar or equal. Nothing is written out in pairs of records."""
+    membership = cut(membership)
+    sizes = membership.groupBy("sid").agg(F.count("*").alias("n"), F.min("key").alias("class"))
+    both = pairs.select("a", "b").unionAll(pairs.select("b", "a")).toDF("sid", "other")
+    near = both.join(sizes.select(F.col("sid").alias("other"), "n"), "other").groupBy("sid").agg(F.sum("n").alias("near"))
+    links = sizes.join(near, "sid", "left").select("sid", "class", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("links"))
+    return membership.join(links, "sid").select("key", "class", "links")
